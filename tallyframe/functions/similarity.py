@@ -23,9 +23,8 @@ COMMON_LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
 _CELLS = 2_000_000  # matrix cells a scoring step may use
 
 
-def jaro_winkler_scores(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Score of each pair; an empty or missing text scores 0."""
-    left, right = a.fillna("").to_numpy(), b.fillna("").to_numpy()
+def jaro_winkler_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Score of each pair of texts; an empty text scores 0."""
     scores = np.zeros(len(left))
     sizes = np.array([max(len(x), len(y)) for x, y in zip(left, right)], dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
@@ -76,12 +75,13 @@ def _batch(left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
     score = np.where(matches > 0, score, 0.0)
     head = min(PREFIX_LENGTH, width)
     shared = np.cumprod(a[:, :head] == b[:, :head], axis=1).sum(axis=1)
-    return np.where(score > BOOST_ABOVE, score + shared * PREFIX_WEIGHT * (1 - score), score)
+    score = np.where(score > BOOST_ABOVE, score + shared * PREFIX_WEIGHT * (1 - score), score)
+    return np.round(score, 12)  # equal similarities must tie, whatever the order of the sums
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(jaro_winkler_scores(x, y))
+        return pd.Series(jaro_winkler_scores(x.fillna("").to_numpy(), y.fillna("").to_numpy()))
 
     score.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
     return F.pandas_udf(score, T.DoubleType())(a, b)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyframe.operators.profile import schema_types
 
@@ -42,3 +43,15 @@ def _rows(expected: dict[str, str], actual: dict[str, str], extras: bool) -> lis
     if extras:
         rows += [(name, "extra", None, kind) for name, kind in actual.items() if name not in expected]
     return rows
+
+
+def compare_profiles(expected: DataFrame, actual: DataFrame, allow_extra: bool = False) -> DataFrame:
+    """The same report from two (column, type) profiles of values."""
+    want = expected.select(F.col("column").alias("e"), F.col("type").alias("expected"))
+    have = actual.select(F.col("column").alias("a"), F.col("type").alias("actual"))
+    status = (
+        F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "extra")
+        .when(F.col("expected") != F.col("actual"), "type mismatch").otherwise("ok")
+    )
+    joined = want.join(have, F.col("e") == F.col("a"), "left" if allow_extra else "full")
+    return joined.select(F.coalesce("e", "a").alias("column"), status.alias("status"), "expected", "actual")

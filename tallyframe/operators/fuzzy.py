@@ -1,15 +1,27 @@
-"""Blocked and fuzzy candidate joins."""
+"""Blocked and fuzzy candidate joins, and the greedy pairing of small blocks."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.names import all_of, col, cols, require
-from tallyframe.functions.similarity import MATCH_SCORE, jaro_winkler, plain_bound, signature_column
+from tallyframe.functions.batches import sorted_groups
+from tallyframe.functions.names import all_of, col, cols, join_keys, require
+from tallyframe.functions.similarity import (
+    MATCH_SCORE,
+    jaro_winkler,
+    jaro_winkler_scores,
+    plain_bound,
+    signature_column,
+)
 from tallyframe.operators.joins import _keyed, _pairs
+from tallyframe.session import BLOCK_PAIRS, cut, setting
+
+_BATCH_PAIRS = 100_000  # pairs scored together, over many small blocks
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, key_pairs: list[dict], l_cols: list[str], r_cols: list[str]) -> DataFrame:
@@ -25,28 +37,156 @@ def blocked_pairs(left: DataFrame, right: DataFrame, key_pairs: list[dict], l_co
     )
 
 
-def scored_texts(left: DataFrame, right: DataFrame, block: list[str], texts: int, threshold: float = MATCH_SCORE) -> DataFrame:
-    """Pairs of distinct text tuples that reach ``threshold`` on every text, block by block.
+def large_blocks(left: DataFrame, right: DataFrame) -> DataFrame | None:
+    """Blocks ``g`` with more row pairs than one task should look at, or None.
+
+    Such a block has more than 2 * sqrt(limit) rows, which bounds how many there can be.
+    """
+    limit = setting(left.sparkSession, BLOCK_PAIRS)
+    sizes = left.groupBy("g").agg(F.count(F.lit(1)).alias("nl")).join(
+        right.groupBy("g").agg(F.count(F.lit(1)).alias("nr")), "g"
+    )
+    pairs = F.col("nl").cast("double") * F.col("nr")
+    found = cut(sizes.filter((pairs > limit) | (F.col("nl") + F.col("nr") > limit)).select("g"))
+    return None if found.isEmpty() else found
+
+
+def split_blocks(df: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary blocks, rows of large blocks)."""
+    return join_keys(df, large, ["g"], "left_anti"), join_keys(df, large, ["g"], "left_semi")
+
+
+def scored_texts(left: DataFrame, right: DataFrame, texts: int, threshold: float = MATCH_SCORE) -> DataFrame:
+    """(g, a0.., b0.., s0): pairs of distinct text tuples of one block that reach ``threshold`` on every text.
 
-    Both inputs hold the block columns and ``a0..`` (left) or ``b0..`` (right) text columns. Scores
-    come as ``s0..``. Candidates are the pairs sharing a signature of the first text, which misses no
-    pair at the threshold; no block is compared all against all.
+    An ordinary block is scored inside one task, which emits the pairs at the threshold only. A large
+    block goes through a signature join, which misses no pair at the threshold and leaves out those
+    whose lengths and characters rule it out.
     """
     a, b = [f"a{i}" for i in range(texts)], [f"b{i}" for i in range(texts)]
-    l = left.select(*cols(block), *cols(a)).distinct()
-    r = right.select(*cols(block), *cols(b)).distinct()
-    l = l.withColumn("__sig", F.explode(signature_column(F.col("a0"), threshold, True)))
-    r = r.withColumn("__sig", F.explode(signature_column(F.col("b0"), threshold, False)))
-    r = r.select(*[col(c).alias(f"__b_{c}") if c in block or c == "__sig" else col(c) for c in r.columns])
-    on = all_of(col(k).eqNullSafe(col(f"__b_{k}")) for k in block + ["__sig"])
+    l, r = left.select("g", *a).distinct(), right.select("g", *b).distinct()
+    large = large_blocks(l, r)
+    if large is None:
+        return _score_blocks(l, r, texts, threshold)
+    (l, l_large), (r, r_large) = split_blocks(l, large), split_blocks(r, large)
+    return _score_blocks(l, r, texts, threshold).unionByName(score_by_signature(l_large, r_large, texts, threshold))
+
+
+def score_by_signature(l: DataFrame, r: DataFrame, texts: int, threshold: float) -> DataFrame:
+    a, b = [f"a{i}" for i in range(texts)], [f"b{i}" for i in range(texts)]
+    l = l.withColumn("sig", F.explode(signature_column(F.col("a0"), threshold, True)))
+    r = r.withColumn("sig", F.explode(signature_column(F.col("b0"), threshold, False)))
     la, lb = F.length("a0"), F.length("b0")
     near = F.least(la, lb) >= (3 * plain_bound(threshold, 4) - 2) * F.greatest(la, lb) - 1e-9
-    candidates = l.join(r, on & near).select(*cols(block), *cols(a + b)).distinct()
+    candidates = l.join(r, ["g", "sig"]).filter(near).select("g", *a, *b).distinct()
     # One score at a time: later texts are scored only for the pairs that are still in.
     for i in range(texts):
         candidates = candidates.withColumn(f"s{i}", jaro_winkler(F.col(f"a{i}"), F.col(f"b{i}")))
         candidates = candidates.filter(F.col(f"s{i}") >= threshold)
-    return candidates
+    return candidates.select("g", *a, *b, "s0")
+
+
+def _sides(l: DataFrame, r: DataFrame, texts: int, extra: list[str]) -> DataFrame:
+    """Both sides of each block in one task, sorted by block, side and ``t``."""
+    l = l.select("g", F.lit(0).alias("side"), *extra, *[F.col(f"a{i}").alias(f"v{i}") for i in range(texts)])
+    r = r.select("g", F.lit(1).alias("side"), *extra, *[F.col(f"b{i}").alias(f"v{i}") for i in range(texts)])
+    return l.unionByName(r).repartition("g").sortWithinPartitions("g", "side", *[e for e in extra if e == "t"])
+
+
+class _Block:
+    """One block's two sides and, once scored, its pairs at the threshold."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], texts: int):
+        first = int(np.searchsorted(arrays["side"], 1))
+        self.g = arrays["g"][0]
+        self.left = {c: v[:first] for c, v in arrays.items()}
+        self.right = {c: v[first:] for c, v in arrays.items()}
+        self.n, self.m = first, len(arrays["side"]) - first
+        self.i = np.repeat(np.arange(self.n), self.m)
+        self.j = np.tile(np.arange(self.m), self.n)
+        self.score = np.zeros(0)
+
+    def texts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.left[f"v{k}"][self.i], self.right[f"v{k}"][self.j]
+
+
+def _score(blocks: list[_Block], texts: int, threshold: float) -> None:
+    for k in range(texts):
+        pairs = [b.texts(k) for b in blocks]
+        scores = jaro_winkler_scores(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+        at = 0
+        for b, (x, _) in zip(blocks, pairs):
+            own = scores[at : at + len(x)]
+            at += len(x)
+            keep = own >= threshold
+            b.i, b.j = b.i[keep], b.j[keep]
+            b.score = own[keep] if k == 0 else b.score[keep]
+
+
+def _scored_blocks(batches: Iterator[pd.DataFrame], texts: int, threshold: float) -> Iterator[list[_Block]]:
+    """Blocks with their scored pairs; small blocks are scored together."""
+    waiting: list[_Block] = []
+    size = 0
+    for arrays in sorted_groups(batches, ["g"]):
+        block = _Block(arrays, texts)
+        if not block.n or not block.m:
+            continue
+        waiting.append(block)
+        size += block.n * block.m
+        if size >= _BATCH_PAIRS:
+            _score(waiting, texts, threshold)
+            yield waiting
+            waiting, size = [], 0
+    if waiting:
+        _score(waiting, texts, threshold)
+        yield waiting
+
+
+def _score_blocks(l: DataFrame, r: DataFrame, texts: int, threshold: float) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for blocks in _scored_blocks(batches, texts, threshold):
+            found = {"g": np.concatenate([np.full(len(b.i), b.g, dtype=object) for b in blocks])}
+            for k in range(texts):
+                pairs = [b.texts(k) for b in blocks]
+                found[f"a{k}"] = np.concatenate([p[0] for p in pairs])
+                found[f"b{k}"] = np.concatenate([p[1] for p in pairs])
+            found["s0"] = np.concatenate([b.score for b in blocks])
+            yield pd.DataFrame(found)
+
+    names = ", ".join(f"a{k} string, b{k} string" for k in range(texts))
+    scored = _sides(l, r, texts, []).mapInPandas(run, f"g string, {names}, s0 double")
+    return scored.select("g", *[f"a{k}" for k in range(texts)], *[f"b{k}" for k in range(texts)], "s0")
+
+
+def pair_blocks(base: DataFrame, others: DataFrame, texts: int, threshold: float, low: bool, high: bool) -> DataFrame:
+    """Greedy one-to-one pairing of ordinary blocks: (g, t, ot).
+
+    ``base`` holds g, t, x, a0..; ``others`` g, t, x, b0... Base rows choose in t order by score, text,
+    distance, smaller x and t. ``low``/``high``: partners may lie at or below / at or above the base x.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for blocks in _scored_blocks(batches, texts, threshold):
+            for b in blocks:
+                bx, ox = b.left["x"][b.i], b.right["x"][b.j]
+                fits = ~np.isnan(bx) & ~np.isnan(ox)
+                if not low:
+                    fits &= ox >= bx
+                if not high:
+                    fits &= ox <= bx
+                i, j, score = b.i[fits], b.j[fits], b.score[fits]
+                ranks = [np.unique(b.right[f"v{k}"], return_inverse=True)[1][j] for k in range(texts)]
+                gap = np.abs(bx[fits] - ox[fits])
+                order = np.lexsort((b.right["t"][j], ox[fits], gap, *reversed(ranks), -score, i))
+                free_i, free_j, found = [True] * b.n, [True] * b.m, []
+                for p, q in zip(i[order].tolist(), j[order].tolist()):
+                    if free_i[p] and free_j[q]:
+                        free_i[p] = free_j[q] = False
+                        found.append((p, q))
+                if found:
+                    at = np.array(found)
+                    yield pd.DataFrame({"g": b.g, "t": b.left["t"][at[:, 0]], "ot": b.right["t"][at[:, 1]]})
+
+    return _sides(base, others, texts, ["t", "x"]).mapInPandas(run, "g string, t long, ot long")
 
 
 def fuzzy_join(
@@ -65,24 +205,21 @@ def fuzzy_join(
     """
     if not exact or not fuzzy:
         raise ValueError("a fuzzy join needs at least one exact and one fuzzy key")
+    require(left, l_cols, "first table")
+    require(right, r_cols, "second table")
     e, f = _pairs(left, right, exact), _pairs(left, right, fuzzy)
     l, r = _keyed(left, right, e, "typed")
-    block = [f"k{i}" for i in range(len(e))]
-    a, b = [f"a{i}" for i in range(len(f))], [f"b{i}" for i in range(len(f))]
-    l = l.select(
-        *[F.col(f"__lk{i}").alias(k) for i, k in enumerate(block)],
-        *[F.col(f"__l{left.columns.index(x)}").cast("string").alias(n) for n, (x, _) in zip(a, f)],
-        *[F.col(f"__l{left.columns.index(c)}").alias(f"left.{c}") for c in l_cols],
-    )
-    r = r.select(
-        *[F.col(f"__rk{i}").alias(k) for i, k in enumerate(block)],
-        *[F.col(f"__r{right.columns.index(y)}").cast("string").alias(n) for n, (_, y) in zip(b, f)],
-        *[F.col(f"__r{right.columns.index(c)}").alias(f"right.{c}") for c in r_cols],
-    )
-    keyed = [F.col(k).isNotNull() for k in block]
-    scored = scored_texts(l.filter(reduce(lambda x, y: x & y, keyed)), r.filter(reduce(lambda x, y: x & y, keyed)),
-                          block, len(f), threshold)
-    joined = scored.join(l, block + a).join(r, block + b)
-    return joined.select(
-        *[col(f"left.{c}") for c in l_cols], *[col(f"right.{c}") for c in r_cols], F.col("s0").alias("score")
-    )
+
+    def slim(df: DataFrame, table: DataFrame, side: int, letter: str, kept: list[str], name: str) -> DataFrame:
+        keys = [F.col(f"__{'lr'[side]}k{i}") for i in range(len(e))]
+        place = {c: F.col(f"__{'lr'[side]}{i}") for i, c in enumerate(table.columns)}
+        texts: list[Column] = [place[p[side]].cast("string").alias(f"{letter}{i}") for i, p in enumerate(f)]
+        known = all_of([k.isNotNull() for k in keys] + [place[p[side]].isNotNull() for p in f])
+        block = F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+        return df.filter(known).select(block.alias("g"), *texts, *[place[c].alias(f"{name}.{c}") for c in kept])
+
+    l, r = slim(l, left, 0, "a", l_cols, "left"), slim(r, right, 1, "b", r_cols, "right")
+    n = range(len(f))
+    scored = scored_texts(l, r, len(f), threshold)
+    joined = scored.join(l, ["g", *[f"a{i}" for i in n]]).join(r, ["g", *[f"b{i}" for i in n]])
+    return joined.select(*cols(f"left.{c}" for c in l_cols), *cols(f"right.{c}" for c in r_cols), col("s0").alias("score"))

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.batches import sorted_groups
 from tallyframe.functions.names import join_keys
 from tallyframe.operators.numbering import number_within
 from tallyframe.session import CHUNK_ROWS, VISITOR_ROWS, cut, setting
@@ -135,30 +136,6 @@ def _first_bounds(x: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray]:
     return x, (x if mode == AFTER else np.nextafter(x, np.inf))
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of a stream that is sorted by ``keys``; holds one group and one batch at most."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
-        change = np.zeros(len(batch), dtype=bool)
-        for k in keys:
-            values = batch[k].to_numpy()
-            change[1:] |= values[1:] != values[:-1]
-        starts = np.flatnonzero(change)
-        pieces = np.split(np.arange(len(batch)), starts)
-        first = batch.iloc[pieces[0]]
-        if held and any(held[0][k].iloc[0] != first[k].iloc[0] for k in keys):
-            yield pd.concat(held, ignore_index=True)
-            held = []
-        held.append(first)
-        for piece in pieces[1:]:
-            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            held = [batch.iloc[piece]]
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def _assign_blocks(base: DataFrame, others: DataFrame, mode: str) -> DataFrame:
     """Settle whole blocks; many small blocks share a task and a batch."""
     rows = others.select("g", F.lit(None).cast("long").alias("t"), F.col("x").cast("double").alias("x")).unionByName(
@@ -167,8 +144,8 @@ def _assign_blocks(base: DataFrame, others: DataFrame, mode: str) -> DataFrame:
     ordered = rows.repartition("g").sortWithinPartitions("g", F.col("t").asc_nulls_first(), "x")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _groups(batches, ["g"]):
-            t, x = block["t"].to_numpy(dtype=float, na_value=np.nan), block["x"].to_numpy()
+        for block in sorted_groups(batches, ["g"]):
+            t, x = block["t"].astype(float), block["x"]
             free = np.isnan(t)
             if free.all() or not free.any():
                 continue
@@ -181,7 +158,7 @@ def _assign_blocks(base: DataFrame, others: DataFrame, mode: str) -> DataFrame:
             hit = taken >= 0
             if hit.any():
                 yield pd.DataFrame({
-                    "g": block["g"].iloc[0],
+                    "g": block["g"][0],
                     "t": t[~free][hit].astype(np.int64),
                     "place": places[taken[hit]],
                 })
@@ -261,26 +238,25 @@ def _round(state: DataFrame, places: DataFrame, edges: dict[str, tuple[np.ndarra
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _groups(batches, ["g", "c"]):
-            g, c = block["g"].iloc[0], int(block["c"].iloc[0])
-            free = block["t"].isna().to_numpy()
+        for block in sorted_groups(batches, ["g", "c"]):
+            g, c = block["g"][0], int(block["c"][0])
+            free = np.isnan(block["t"].astype(float))
             low, high = edges[g]
-            rows, spots = block[~free], block[free]
-            x = rows["x"].to_numpy()
+            rows, spots = ({n: v[pick] for n, v in block.items()} for pick in (~free, free))
+            x = rows["x"]
             taken, lc, lb, rc, rb = settle(
-                spots["x"].to_numpy(), spots["room"].to_numpy(dtype=np.int64), x, c,
-                rows["lc"].to_numpy(dtype=np.int64), rows["lb"].to_numpy(),
-                rows["rc"].to_numpy(dtype=np.int64), rows["rb"].to_numpy(),
+                spots["x"], spots["room"].astype(np.int64), x, c,
+                rows["lc"].astype(np.int64), rows["lb"].astype(float), rows["rc"].astype(np.int64), rows["rb"].astype(float),
                 high[c - 1] if c > 0 else None, low[c + 1] if c + 1 < len(low) else None,
             )
             held = taken >= 0
             place = np.full(len(x), np.nan)
-            place[held] = spots["x"].to_numpy()[taken[held]]
+            place[held] = spots["x"][taken[held]]
             go_left = (lc != _GONE) & ((rc == _GONE) | (x - lb <= rb - x))
             target = np.where(held, c, np.where(go_left, lc, rc))
             status = np.where(held, _HELD, np.where((lc == _GONE) & (rc == _GONE), _OUT, _ARRIVING))
             yield pd.DataFrame({
-                "g": g, "t": rows["t"].to_numpy(dtype=np.int64), "x": x, "c": target, "lc": lc, "lb": lb,
+                "g": g, "t": rows["t"].astype(np.int64), "x": x, "c": target, "lc": lc, "lb": lb,
                 "rc": rc, "rb": rb, "place": place, "state": status.astype(np.int32),
             })
 

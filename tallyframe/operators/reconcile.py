@@ -5,9 +5,10 @@ Pairing takes, in base order, each base row's best free partner inside its block
 * Exact keys in row order: the i-th base row pairs with the i-th other row of the block, so both
   sides are numbered and joined. No candidate pairs are built.
 * Nearest basis value: see ``nearest``; then rows of one block and basis value pair by position.
-* Fuzzy keys: distinct text tuples are scored once. Base rows apply to their best group of equal
-  other texts, each group keeps whom it would take, the rest apply to their next best, until no row
-  is left with a group to try. The outcome equals taking pairs one by one in rank order.
+* Fuzzy keys: an ordinary block is scored and paired inside one task. In a large block distinct text
+  tuples are scored once; base rows apply to their best group of equal other texts, each group keeps
+  whom it would take, the rest apply to their next best, until no row has a group left to try. The
+  outcome equals taking pairs one by one in rank order.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from tallyframe.functions.names import all_of, col, cols, field_type, free_name,
 from tallyframe.functions.similarity import MATCH_SCORE
 from tallyframe.functions.text import as_text, normalise_key, numeric_text
 from tallyframe.operators.clean import fill_blanks
-from tallyframe.operators.fuzzy import scored_texts
+from tallyframe.operators.fuzzy import large_blocks, pair_blocks, scored_texts, split_blocks
 from tallyframe.operators.grouping import sum_by_keys
 from tallyframe.operators.joins import comparable
 from tallyframe.operators.nearest import AFTER, BEFORE, CLOSEST, assign
@@ -296,10 +297,28 @@ def _fuzzy_pairs(numbered: dict[str, DataFrame], plan: Plan) -> DataFrame:
         texts = [F.col(f"__f{i}").alias(f"{letter}{i}") for i in range(n)]
         return numbered[side].select(F.col("__g").alias("g"), F.col("__t").alias("t"), place.alias("x"), *texts)
 
-    a, b = [f"a{i}" for i in range(n)], [f"b{i}" for i in range(n)]
     base, others = slim(plan.base, "a"), slim(_other(plan.base), "b")
+    large = large_blocks(base, others)
+    if large is None:
+        return _pairs_in_blocks(base, others, plan)
+    (base, base_large), (others, others_large) = split_blocks(base, large), split_blocks(others, large)
+    return _pairs_in_blocks(base, others, plan).unionByName(_pairs_by_rounds(base_large, others_large, plan))
+
+
+def _pairs_in_blocks(base: DataFrame, others: DataFrame, plan: Plan) -> DataFrame:
+    paired = pair_blocks(
+        base, others, len(plan.fuzzy), plan.threshold, low=plan.choice != AFTER, high=plan.choice != BEFORE
+    )
+    left, right = ("t", "ot") if plan.base == "left" else ("ot", "t")
+    return paired.select("g", F.col(left).alias("left"), F.col(right).alias("right"))
+
+
+def _pairs_by_rounds(base: DataFrame, others: DataFrame, plan: Plan) -> DataFrame:
+    """Large blocks: applications to groups of equal other texts, round by round."""
+    n = len(plan.fuzzy)
+    a, b = [f"a{i}" for i in range(n)], [f"b{i}" for i in range(n)]
     others = others.withColumn("q", F.to_json(F.struct("g", *b)))
-    scored = scored_texts(base, others, ["g"], n, plan.threshold)
+    scored = scored_texts(base, others, n, plan.threshold)
     ranked = number_within(scored, ["g", *a], [F.col("s0").desc(), *cols(b)], "r")
     choices = cut(ranked.select("g", *a, "r", F.to_json(F.struct("g", *b)).alias("q")))
     others = others.select("q", "t", "x")

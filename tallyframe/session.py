@@ -11,6 +11,7 @@ HOT_GROUP_ROWS = ("spark.tallyframe.hotGroupRows", 2_000_000)
 PIVOT_MAX_COLUMNS = ("spark.tallyframe.pivotMaxColumns", 10_000)
 PAGE_TAKE_ROWS = ("spark.tallyframe.pageTakeRows", 100_000)
 CHUNK_ROWS = ("spark.tallyframe.chunkRows", 200_000)
+BLOCK_PAIRS = ("spark.tallyframe.blockPairs", 1_000_000)
 VISITOR_ROWS = ("spark.tallyframe.visitorRows", 800_000)
 
 
