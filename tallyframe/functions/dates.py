@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime
 
 from pyspark.sql import Column
@@ -58,8 +59,26 @@ def spark_pattern(fmt: str | None) -> str | None:
     return fmt
 
 
+def _shape(pattern: str) -> str:
+    """Regular expression of the texts a numeric pattern can read."""
+    pieces = re.findall(r"y+|M+|d+|H|m|s|'T'|.", pattern)
+    digits = {"yyyy": r"\d{4}", "MM": r"\d{2}", "dd": r"\d{2}"}
+    return "^" + "".join(
+        digits.get(p, r"\d{1,2}" if p in ("M", "d", "H", "m", "s") else "T" if p == "'T'" else re.escape(p)) for p in pieces
+    ) + "$"
+
+
+_SHAPES = {p: _shape(p) for p in [*DATE_FORMATS.values(), *_STAMP_PATTERNS]}
+
+
+def _stamp(c: Column, pattern: str) -> Column:
+    """Timestamp of a text, NULL when it does not fit; the cheap shape test spares failing parses."""
+    read = F.try_to_timestamp(c, F.lit(pattern))
+    return F.when(c.rlike(_SHAPES[pattern]), read) if pattern in _SHAPES else read
+
+
 def parse_with(c: Column, pattern: str) -> Column:
-    return F.to_date(F.try_to_timestamp(c, F.lit(pattern)))
+    return F.to_date(_stamp(c, pattern))
 
 
 def parse_any(c: Column, first: str | None = None, day_first: bool = True) -> Column:
@@ -69,13 +88,20 @@ def parse_any(c: Column, first: str | None = None, day_first: bool = True) -> Co
         patterns = sorted(patterns, key=lambda p: (p.startswith("d"), patterns.index(p)))
     if first:
         patterns = [first] + [p for p in patterns if p != first]
-    return F.coalesce(*[parse_with(c, p) for p in patterns + _STAMP_PATTERNS])
+    read = F.coalesce(*[parse_with(c, p) for p in patterns + _STAMP_PATTERNS])
+    return read if first and first not in _SHAPES else F.when(_may_be_date(c), read)
+
+
+def _may_be_date(c: Column) -> Column:
+    """Every known date form starts with a digit and has at least eight characters."""
+    return (F.length(c) >= 8) & c.rlike(r"^\d")
 
 
 def stamp_any(c: Column, day_first: bool = True) -> Column:
     """Timestamp without zone of a text in any known format, NULL when none fits."""
-    with_time = [F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz") for p in _STAMP_PATTERNS]
-    return F.coalesce(*with_time, parse_any(c, day_first=day_first).cast("timestamp_ntz"))
+    with_time = [_stamp(c, p).cast("timestamp_ntz") for p in _STAMP_PATTERNS]
+    timed = F.when(F.length(c) > 10, F.coalesce(*with_time))
+    return F.when(_may_be_date(c), F.coalesce(timed, parse_any(c, day_first=day_first).cast("timestamp_ntz")))
 
 
 def complete_partial(c: Column) -> Column:

@@ -20,61 +20,115 @@ MATCH_SCORE = 0.85
 # Fixed value: letters from common to rare, used only to order the characters of a signature.
 COMMON_LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
 
-_CELLS = 2_000_000  # matrix cells a scoring step may use
-
-
-def jaro_winkler_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Score of each pair of texts; an empty text scores 0."""
-    scores = np.zeros(len(left))
-    sizes = np.array([max(len(x), len(y)) for x, y in zip(left, right)], dtype=np.int64)
-    order = np.argsort(sizes, kind="stable")
+_CELLS = 1_000_000  # matrix cells a scoring step may use
+_BINS = 64  # character bins of the quick bound
+
+
+class TextSet:
+    """Texts as code point arrays, with their lengths and binned character counts."""
+
+    def __init__(self, texts: np.ndarray):
+        self.codes = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
+        self.lengths = np.array([len(c) for c in self.codes], dtype=np.int64)
+        joined = np.concatenate(self.codes) if len(self.codes) else np.zeros(0, dtype=np.uint32)
+        owner = np.repeat(np.arange(len(self.codes)), self.lengths)
+        flat = np.bincount(owner * _BINS + (joined % _BINS).astype(np.int64), minlength=len(self.codes) * _BINS)
+        self.bins = np.minimum(flat.reshape(-1, _BINS), 65535).astype(np.uint16)
+        self.head = self.grid(np.arange(len(self.codes)), PREFIX_LENGTH, 0)
+
+    def grid(self, pick: np.ndarray, width: int, pad: int) -> np.ndarray:
+        """Codes of the picked texts, one row each, padded to ``width``."""
+        made = np.full((len(pick), width), pad, dtype=np.uint32)
+        for row, at in enumerate(pick.tolist()):
+            code = self.codes[at][:width]
+            made[row, : len(code)] = code
+        return made
+
+
+def score_pairs(a: TextSet, b: TextSet, i: np.ndarray, j: np.ndarray, threshold: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, positions) of the pairs (i, j) that reach ``threshold``.
+
+    A bound from character counts settles most other pairs: the matched characters are at most the
+    common ones, and transpositions only lower the score. An empty text scores 0.
+    """
+    keep = np.arange(len(i))
+    if threshold > 0:
+        kept = []
+        for at in range(0, len(i), _CELLS // _BINS):
+            p, q = i[at : at + _CELLS // _BINS], j[at : at + _CELLS // _BINS]
+            common = np.minimum(a.bins[p], b.bins[q]).sum(axis=1, dtype=np.int64)
+            la, lb = np.maximum(a.lengths[p], 1), np.maximum(b.lengths[q], 1)
+            best = (common / la + common / lb + 1) / 3
+            shared = np.cumprod((a.head[p] == b.head[q]) & (a.head[p] != 0), axis=1).sum(axis=1)
+            best = np.where(best > BOOST_ABOVE, best + shared * PREFIX_WEIGHT * (1 - best), best)
+            kept.append(at + np.flatnonzero((best >= threshold - 1e-9) & (common > 0)))
+        keep = np.concatenate(kept) if kept else keep
+    i, j = i[keep], j[keep]
+    scores = np.zeros(len(i))
+    widths = np.maximum(a.lengths[i], b.lengths[j])
+    order = np.argsort(widths, kind="stable")
     start = 0
     while start < len(order):
-        stop, width = start + 1, sizes[order[start]]
-        while stop < len(order) and (stop - start + 1) * max(1, sizes[order[stop]]) <= _CELLS:
-            width = sizes[order[stop]]
-            stop += 1
+        # Pairs of similar width share a matrix of at most _CELLS cells (a single pair may exceed it).
+        stop = start + max(1, _CELLS // max(1, int(widths[order[start]])))
+        while stop - start > 1 and (min(stop, len(order)) - start) * int(widths[order[min(stop, len(order)) - 1]]) > _CELLS:
+            stop = start + (stop - start) // 2
         pick = order[start:stop]
+        width = int(widths[pick[-1]])
         if width:
-            scores[pick] = _batch(left[pick], right[pick], int(width))
+            scores[pick] = _batch(a, b, i[pick], j[pick], width)
         start = stop
-    return scores
-
+    reached = scores >= threshold
+    return scores[reached], keep[reached]
 
-def _codes(texts: np.ndarray, width: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    grid = np.full((len(texts), width), pad, dtype=np.int32)
-    lengths = np.zeros(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        grid[i, : len(raw)] = raw
-        lengths[i] = len(raw)
-    return grid, lengths
 
-
-def _batch(left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
-    a, la = _codes(left, width, -1)
-    b, lb = _codes(right, width, -2)
-    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
-    places = np.arange(width)
+def jaro_winkler_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Score of each pair of texts."""
+    at = np.arange(len(left))
+    return score_pairs(TextSet(left), TextSet(right), at, at)[0]
+
+
+def _batch(a_set: TextSet, b_set: TextSet, i: np.ndarray, j: np.ndarray, width: int) -> np.ndarray:
+    a_ids, a_at = np.unique(i, return_inverse=True)
+    b_ids, b_at = np.unique(j, return_inverse=True)
+    a, b = a_set.grid(a_ids, width, 0), b_set.grid(b_ids, width, 0)
+    alphabet = np.unique(np.concatenate([np.unique(a), np.unique(b), [0]]))
+    small = np.uint8 if len(alphabet) < 255 else np.uint32
+    a, b = np.searchsorted(alphabet, a).astype(small)[a_at], np.searchsorted(alphabet, b).astype(small)[b_at]
+    la, lb = a_set.lengths[i], b_set.lengths[j]
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    places, rows = np.arange(width), np.arange(len(i))
+    # Unmatched characters of b; a matched or padding place holds a code that equals nothing in a.
+    used = small(np.iinfo(small).max)
+    left = np.where(places < lb[:, None], b, used)
     a_hit = np.zeros(a.shape, dtype=bool)
     b_hit = np.zeros(b.shape, dtype=bool)
-    rows = np.arange(len(left))
-    for i in range(width):
-        open_places = (b == a[:, i : i + 1]) & ~b_hit & (np.abs(places - i) <= reach)
-        found = open_places.any(axis=1)
-        first = open_places.argmax(axis=1)
-        a_hit[found, i] = True
-        b_hit[rows[found], first[found]] = True
+    widest, same_reach = int(reach.max()), bool((reach == reach[0]).all())
+    for k in range(int(la.max())):
+        low, high = max(0, k - widest), min(width, k + widest + 1)
+        if low >= high:
+            continue
+        fits = left[:, low:high] == a[:, k : k + 1]
+        if not same_reach:
+            fits &= np.abs(places[low:high] - k) <= reach[:, None]
+        first = fits.argmax(axis=1)
+        found = fits[rows, first] & (k < la)
+        at = rows[found], first[found] + low
+        a_hit[found, k] = True
+        b_hit[at] = True
+        left[at] = used
     matches = a_hit.sum(axis=1)
     # The k-th matched character of one side is compared with the k-th of the other.
-    a_sorted = np.take_along_axis(a, np.argsort(~a_hit, axis=1, kind="stable"), axis=1)
-    b_sorted = np.take_along_axis(b, np.argsort(~b_hit, axis=1, kind="stable"), axis=1)
-    swapped = ((a_sorted != b_sorted) & (places < matches[:, None])).sum(axis=1) // 2
+    a_row, a_col = np.nonzero(a_hit)
+    b_row, b_col = np.nonzero(b_hit)
+    unequal = a[a_row, a_col] != b[b_row, b_col]
+    swapped = np.bincount(a_row, weights=unequal, minlength=len(i)).astype(np.int64) // 2
     safe = np.maximum(matches, 1)
     score = (matches / np.maximum(la, 1) + matches / np.maximum(lb, 1) + (matches - swapped) / safe) / 3
     score = np.where(matches > 0, score, 0.0)
     head = min(PREFIX_LENGTH, width)
-    shared = np.cumprod(a[:, :head] == b[:, :head], axis=1).sum(axis=1)
+    inside = places[:head] < np.minimum(la, lb)[:, None]
+    shared = np.cumprod((a[:, :head] == b[:, :head]) & inside, axis=1).sum(axis=1)
     score = np.where(score > BOOST_ABOVE, score + shared * PREFIX_WEIGHT * (1 - score), score)
     return np.round(score, 12)  # equal similarities must tie, whatever the order of the sums
 

@@ -13,15 +13,18 @@ from tallyframe.functions.batches import sorted_groups
 from tallyframe.functions.names import all_of, col, cols, join_keys, require
 from tallyframe.functions.similarity import (
     MATCH_SCORE,
+    TextSet,
     jaro_winkler,
-    jaro_winkler_scores,
     plain_bound,
+    score_pairs,
     signature_column,
 )
 from tallyframe.operators.joins import _keyed, _pairs
-from tallyframe.session import BLOCK_PAIRS, cut, setting
+from tallyframe.session import BLOCK_PAIRS, cut, setting, spread
 
 _BATCH_PAIRS = 100_000  # pairs scored together, over many small blocks
+_BATCH_CHARS = 20_000_000  # text held for them
+_CHARS_PER_PAIR = 50  # text a block may hold, per pair of the block limit
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, key_pairs: list[dict], l_cols: list[str], r_cols: list[str]) -> DataFrame:
@@ -38,17 +41,17 @@ def blocked_pairs(left: DataFrame, right: DataFrame, key_pairs: list[dict], l_co
 
 
 def large_blocks(left: DataFrame, right: DataFrame) -> DataFrame | None:
-    """Blocks ``g`` with more row pairs than one task should look at, or None.
-
-    Such a block has more than 2 * sqrt(limit) rows, which bounds how many there can be.
-    """
+    """Blocks ``g`` with more row pairs, rows or text than one task should hold, or None."""
     limit = setting(left.sparkSession, BLOCK_PAIRS)
-    sizes = left.groupBy("g").agg(F.count(F.lit(1)).alias("nl")).join(
-        right.groupBy("g").agg(F.count(F.lit(1)).alias("nr")), "g"
-    )
+    def sized(df: DataFrame, name: str) -> DataFrame:
+        length = sum((F.length(c) for c in df.columns if c[0] in "ab" and c[1:].isdigit()), F.lit(0))
+        return df.groupBy("g").agg(F.count(F.lit(1)).alias(f"n{name}"), F.sum(length).alias(f"c{name}"))
+
+    sizes = sized(left, "l").join(sized(right, "r"), "g")
     pairs = F.col("nl").cast("double") * F.col("nr")
-    found = cut(sizes.filter((pairs > limit) | (F.col("nl") + F.col("nr") > limit)).select("g"))
-    return None if found.isEmpty() else found
+    rows, chars = F.col("nl") + F.col("nr"), F.col("cl") + F.col("cr")
+    found = sizes.filter((pairs > limit) | (rows > limit) | (chars > limit * _CHARS_PER_PAIR)).select("g")
+    return cut(found) if found.take(1) else None
 
 
 def split_blocks(df: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +93,7 @@ def _sides(l: DataFrame, r: DataFrame, texts: int, extra: list[str]) -> DataFram
     """Both sides of each block in one task, sorted by block, side and ``t``."""
     l = l.select("g", F.lit(0).alias("side"), *extra, *[F.col(f"a{i}").alias(f"v{i}") for i in range(texts)])
     r = r.select("g", F.lit(1).alias("side"), *extra, *[F.col(f"b{i}").alias(f"v{i}") for i in range(texts)])
-    return l.unionByName(r).repartition("g").sortWithinPartitions("g", "side", *[e for e in extra if e == "t"])
+    return spread(l.unionByName(r), "g").sortWithinPartitions("g", "side", *[e for e in extra if e == "t"])
 
 
 class _Block:
@@ -102,8 +105,8 @@ class _Block:
         self.left = {c: v[:first] for c, v in arrays.items()}
         self.right = {c: v[first:] for c, v in arrays.items()}
         self.n, self.m = first, len(arrays["side"]) - first
-        self.i = np.repeat(np.arange(self.n), self.m)
-        self.j = np.tile(np.arange(self.m), self.n)
+        self.chars = sum(len(v) for k in range(texts) for v in arrays[f"v{k}"])
+        self.i = self.j = np.zeros(0, dtype=np.int64)
         self.score = np.zeros(0)
 
     def texts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,32 +114,38 @@ class _Block:
 
 
 def _score(blocks: list[_Block], texts: int, threshold: float) -> None:
+    """Score all pairs of the blocks, first text first; later texts only where the earlier ones hold."""
+    left_at = np.cumsum([0] + [b.n for b in blocks])
+    right_at = np.cumsum([0] + [b.m for b in blocks])
+    i = np.concatenate([np.repeat(np.arange(b.n), b.m) + at for b, at in zip(blocks, left_at)])
+    j = np.concatenate([np.tile(np.arange(b.m), b.n) + at for b, at in zip(blocks, right_at)])
+    scores = np.zeros(0)
     for k in range(texts):
-        pairs = [b.texts(k) for b in blocks]
-        scores = jaro_winkler_scores(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
-        at = 0
-        for b, (x, _) in zip(blocks, pairs):
-            own = scores[at : at + len(x)]
-            at += len(x)
-            keep = own >= threshold
-            b.i, b.j = b.i[keep], b.j[keep]
-            b.score = own[keep] if k == 0 else b.score[keep]
+        left = TextSet(np.concatenate([b.left[f"v{k}"] for b in blocks]))
+        right = TextSet(np.concatenate([b.right[f"v{k}"] for b in blocks]))
+        own, keep = score_pairs(left, right, i, j, threshold)
+        i, j = i[keep], j[keep]
+        scores = own if k == 0 else scores[keep]
+    bounds = np.searchsorted(i, left_at)  # i rises with the blocks
+    for at, b in enumerate(blocks):
+        low, high = bounds[at], bounds[at + 1]
+        b.i, b.j, b.score = i[low:high] - left_at[at], j[low:high] - right_at[at], scores[low:high]
 
 
 def _scored_blocks(batches: Iterator[pd.DataFrame], texts: int, threshold: float) -> Iterator[list[_Block]]:
     """Blocks with their scored pairs; small blocks are scored together."""
     waiting: list[_Block] = []
-    size = 0
+    size = chars = 0
     for arrays in sorted_groups(batches, ["g"]):
         block = _Block(arrays, texts)
         if not block.n or not block.m:
             continue
         waiting.append(block)
-        size += block.n * block.m
-        if size >= _BATCH_PAIRS:
+        size, chars = size + block.n * block.m, chars + block.chars
+        if size >= _BATCH_PAIRS or chars >= _BATCH_CHARS:
             _score(waiting, texts, threshold)
             yield waiting
-            waiting, size = [], 0
+            waiting, size, chars = [], 0, 0
     if waiting:
         _score(waiting, texts, threshold)
         yield waiting

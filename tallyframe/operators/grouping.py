@@ -76,7 +76,7 @@ def group_aggregate(
         everything = free_name(df.columns, "__all")
         whole = df.withColumn(everything, F.lit(0))
         return group_aggregate(whole, everything, values, order_by, False, text_sum).drop(everything)
-    hot = hot_groups(rows, keys) if holistic else None
+    hot = hot_groups([rows], keys) if holistic else None
     if hot is None:
         made = [_aggregate(df, v["column"], v["aggregation"], order).alias(n) for n, v in zip(names, values)]
         result = rows.groupBy(*cols(keys)).agg(*made)
@@ -115,7 +115,7 @@ def pivot(
     column_index: str | list[str] | None,
     values: list[dict],
     order_by: list[str] | None = None,
-    headers: list[tuple] | None = None,
+    headers: list | None = None,
     text_sum: str = "error",
 ) -> DataFrame:
     """Cross table with columns ``Value|header``, values in the given order, headers sorted.
@@ -130,14 +130,15 @@ def pivot(
     names = value_names(values)
     cells = group_aggregate(df, rows + heads, values, order_by, text_sum=text_sum)
     limit = setting(df.sparkSession, PIVOT_MAX_COLUMNS)
-    if headers is None:
-        found = df.select(*cols(heads)).dropna().distinct().limit(limit + 1).collect()
-        headers = sorted(tuple(r) for r in found)
-    if len(headers) * len(names) > limit:
-        raise ValueError(f"the pivot needs more than {limit} columns (spark.tallyframe.pivotMaxColumns)")
     label = free_name(df.columns, "__label")
     text = F.concat_ws("|", *[as_text(col(h), field_type(df, h)) for h in heads])
-    labels = [r[0] for r in _labels(df, heads, headers)]
+    if headers is None:
+        found = df.select(*cols(heads), text.alias(label)).dropna().distinct().limit(limit + 1).collect()
+        labels = [r[-1] for r in sorted(found, key=lambda r: tuple(r)[:-1])]
+    else:
+        labels = _labels(df, heads, headers)
+    if len(labels) * len(names) > limit:
+        raise ValueError(f"the pivot needs more than {limit} columns (spark.tallyframe.pivotMaxColumns)")
     spread = (
         cells.select(*cols(rows), text.alias(label), *[col(n).alias(f"__v{i}") for i, n in enumerate(names)])
         .groupBy(*cols(rows))
@@ -150,15 +151,16 @@ def pivot(
     return spread.select(*cols(rows), *made)
 
 
-def _labels(df: DataFrame, heads: list[str], headers: list[tuple]) -> list:
-    """Text of the header values, made by the same expression as in the data."""
+def _labels(df: DataFrame, heads: list[str], headers: list[tuple]) -> list[str]:
+    """Text of given header values, made by the same expression as in the data."""
     if not headers:
         return []
-    schema = df.select(*cols(heads)).schema
-    local = df.sparkSession.createDataFrame([(i, *h) for i, h in enumerate(headers)],
-                                            "at int, " + ", ".join(f"h{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)))
-    text = F.concat_ws("|", *[as_text(F.col(f"h{i}"), f.dataType) for i, f in enumerate(schema)])
-    return local.select(text.alias("label"), "at").orderBy("at").collect()
+    types = [field_type(df, h) for h in heads]
+    texts = [
+        F.concat_ws("|", *[as_text(F.lit(v).cast(t), t) for v, t in zip(h if isinstance(h, tuple) else (h,), types)])
+        for h in headers
+    ]
+    return list(df.sparkSession.range(1).select(F.array(*texts)).first()[0])
 
 
 def sum_by_keys(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

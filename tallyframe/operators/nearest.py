@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.batches import sorted_groups
 from tallyframe.functions.names import join_keys
 from tallyframe.operators.numbering import number_within
-from tallyframe.session import CHUNK_ROWS, VISITOR_ROWS, cut, setting
+from tallyframe.session import CHUNK_ROWS, VISITOR_ROWS, cut, setting, spread
 
 CLOSEST, BEFORE, AFTER = "closest", "immediately_before", "immediately_after"
 
@@ -48,9 +48,10 @@ def assign(base: DataFrame, others: DataFrame, mode: str, ranked: bool = False)
         .join(others.groupBy("g").agg(F.count(F.lit(1)).alias("no")), "g")
     )
     # At most rows / limit blocks can be hot, so this table is small by construction.
-    hot = cut(sizes.filter((F.col("nb") > visitors) | (F.col("no") > chunk)).select("g", "no"))
-    if hot.isEmpty():
+    hot = sizes.filter((F.col("nb") > visitors) | (F.col("no") > chunk)).select("g", "no")
+    if not hot.take(1):
         return _assign_blocks(base, others, mode)
+    hot = cut(hot)
     names = hot.select("g")
     cold = _assign_blocks(
         join_keys(base, names, ["g"], "left_anti"), join_keys(others, names, ["g"], "left_anti"), mode
@@ -141,7 +142,7 @@ def _assign_blocks(base: DataFrame, others: DataFrame, mode: str) -> DataFrame:
     rows = others.select("g", F.lit(None).cast("long").alias("t"), F.col("x").cast("double").alias("x")).unionByName(
         base.select("g", "t", F.col("x").cast("double").alias("x"))
     )
-    ordered = rows.repartition("g").sortWithinPartitions("g", F.col("t").asc_nulls_first(), "x")
+    ordered = spread(rows, "g").sortWithinPartitions("g", F.col("t").asc_nulls_first(), "x")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in sorted_groups(batches, ["g"]):
@@ -233,7 +234,7 @@ def _round(state: DataFrame, places: DataFrame, edges: dict[str, tuple[np.ndarra
           (("lc", "long"), ("lb", "double"), ("rc", "long"), ("rb", "double"), ("place", "double"), ("state", "int"))],
         "room",
     )
-    ordered = moving.unionByName(open_places).repartition("g", "c").sortWithinPartitions(
+    ordered = spread(moving.unionByName(open_places), "g", "c").sortWithinPartitions(
         "g", "c", F.col("t").asc_nulls_first(), "x"
     )
 

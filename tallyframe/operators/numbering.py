@@ -8,6 +8,8 @@ of the stretch sizes (one row per group and partition) turns local positions int
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +25,20 @@ def total_order(df: DataFrame, order: list[Column], used: list[str] = ()) -> lis
     return list(order) + [col(n).asc_nulls_last() for n in rest]
 
 
-def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
-    """Keys of the groups above the size limit, or None.
+def hot_groups(tables: list[DataFrame], keys: list[str]) -> DataFrame | None:
+    """Keys of the groups above the size limit in any of the tables, or None.
 
     Counting combines on the map side. At most (rows / limit) groups can be hot, so the result is
-    small by construction; it is materialised once because both branches of a split read it.
+    small by construction; it is materialised only when there is one.
     """
-    limit = setting(df.sparkSession, HOT_GROUP_ROWS)
-    size = free_name(df.columns, "__size")
-    found = df.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias(size)).filter(col(size) > limit).select(*cols(keys))
-    found = cut(found)
-    return None if found.isEmpty() else found
+    limit = setting(tables[0].sparkSession, HOT_GROUP_ROWS)
+    size, table = free_name(keys, "__size"), free_name(keys, "__table")
+    counted = reduce(DataFrame.unionByName, [
+        df.select(*cols(keys), F.lit(i).alias(table)) for i, df in enumerate(tables)
+    ])
+    found = counted.groupBy(*cols(keys), col(table)).agg(F.count(F.lit(1)).alias(size)).filter(col(size) > limit)
+    found = found.select(*cols(keys))
+    return cut(found.distinct()) if found.take(1) else None
 
 
 def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,9 +48,11 @@ def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame
 
 def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Row number from 1 within each group of ``keys``."""
-    if not keys:
-        return number_rows(df, order, name)
-    hot = hot_groups(df, keys)
+    return number_groups(df, keys, order, name, hot_groups([df], keys))
+
+
+def number_groups(df: DataFrame, keys: list[str], order: list[Column], name: str, hot: DataFrame | None) -> DataFrame:
+    """As :func:`number_within`, with the hot groups already known."""
     if hot is None:
         return _window_number(df, keys, order, name)
     cold_rows, hot_rows = split_hot(df, keys, hot)

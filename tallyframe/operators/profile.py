@@ -15,51 +15,67 @@ BOOLEAN_WORDS = ["true", "false", "1", "0", "yes", "no"]
 DATE_SHARE = 0.7
 
 
+_KINDS = ("n", "bool", "shape", "date", "number", "whole")
+
+
 def logical_types(df: DataFrame) -> DataFrame:
     """(column, type) by value: boolean, date, integer, float or string.
 
-    One aggregate over the table counts, per column, the values of each kind; the decision is a
-    ``CASE`` over that one row. A 0/1 column is boolean; a date needs more than 70 % date shapes
-    and every value readable as a date.
+    Per column the values of each kind are counted, then a ``CASE`` decides. A 0/1 column is boolean;
+    a date needs more than 70 % date shapes and every value readable as a date. Text columns are
+    counted as (column, value) rows, so the plan stays small however wide the table is; the counts
+    combine before the shuffle, which carries one row per column and task.
     """
     fields = df.schema.fields
-    counts = []
+    text = [f.name for f in fields if not is_number(f.dataType) and not is_time(f.dataType)]
+    # Every column appears in this one row; text columns with zeros, to which their counts are added.
+    counts, entries = [], []
     for i, f in enumerate(fields):
-        counts += [e.alias(f"c{i}_{k}") for k, e in _kind_counts(col(f.name), f.dataType).items()]
-    row = df.agg(*counts)
-    labels = [
-        F.struct(F.lit(f.name).alias("column"), _decide(i).alias("type")) for i, f in enumerate(fields)
-    ]
-    return row.select(F.explode(F.array(*labels)).alias("p")).select("p.column", "p.type")
-
-
-def _kind_counts(c: Column, t: T.DataType) -> dict[str, Column]:
+        kinds = {} if f.name in text else _typed_counts(col(f.name), f.dataType)
+        counts += [e.alias(f"c{i}_{k}") for k, e in kinds.items()]
+        entries.append(F.struct(F.lit(f.name).alias("column"), *[
+            (F.col(f"c{i}_{k}") if k in kinds else F.lit(0).cast("long")).alias(k) for k in _KINDS
+        ]))
+    row = df.agg(F.lit(1).alias("one"), *counts) if counts else df.sparkSession.range(1)
+    found = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    if text:
+        found = found.unionByName(_text_counts(df, text))
+    totals = found.groupBy("column").agg(*[F.sum(k).alias(k) for k in _KINDS])
+    return totals.select("column", _decide().alias("type"))
+
+
+def _typed_counts(c: Column, t: T.DataType) -> dict[str, Column]:
     value = F.nanvl(c, F.lit(None).cast(t)) if is_fraction(t) else c
     n = F.count(value)
-    none = F.lit(0).cast("long")
     if is_time(t):
-        return {"n": n, "bool": none, "shape": n, "date": n, "number": none, "whole": none}
-    text = as_text(value, t)
-    counts = {
-        "n": n,
-        "bool": F.count_if(F.lower(text).isin(BOOLEAN_WORDS)),
-        "shape": F.count_if(text.rlike(dates.DATE_SHAPE)),
-    }
-    if is_number(t):
-        whole = n if isinstance(t, T.IntegralType) else F.count_if(value == F.floor(value))
-        return counts | {"date": n, "number": n, "whole": whole}
-    parsed = text.try_cast("double")
+        return {"n": n, "shape": n, "date": n}
+    counts = {"n": n, "date": n, "number": n}
+    if not isinstance(t, T.IntegralType):
+        return counts | {"whole": F.count_if(value == F.floor(value))}
+    # Whole numbers read as YYYYMMDD have the shape of a date.
     return counts | {
-        "date": F.count_if(dates.stamp_any(text).isNotNull()),
-        "number": F.count_if(parsed.isNotNull()),
-        "whole": F.count_if(parsed == F.floor(parsed)),
+        "whole": n, "bool": F.count_if(value.isin(0, 1)), "shape": F.count_if(value.between(10_000_000, 99_999_999)),
     }
 
 
-def _decide(i: int) -> Column:
-    n, boolean, shape, date, number, whole = (
-        F.col(f"c{i}_{k}") for k in ("n", "bool", "shape", "date", "number", "whole")
-    )
+def _text_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    texts = F.array(*[as_text(col(n), df.schema[n].dataType) for n in names])
+    values = df.select(F.posexplode(texts).alias("at", "v")).filter(F.col("v").isNotNull())
+    v = F.col("v")
+    parsed = v.try_cast("double")
+    labels = F.array(*[F.lit(n) for n in names])
+    return values.groupBy("at").agg(
+        F.count(v).alias("n"),
+        F.count_if(F.lower(v).isin(BOOLEAN_WORDS)).alias("bool"),
+        F.count_if(v.rlike(dates.DATE_SHAPE)).alias("shape"),
+        F.count_if(dates.stamp_any(v).isNotNull()).alias("date"),
+        F.count_if(parsed.isNotNull()).alias("number"),
+        F.count_if(parsed == F.floor(parsed)).alias("whole"),
+    ).select(F.element_at(labels, F.col("at") + 1).alias("column"), *_KINDS)
+
+
+def _decide() -> Column:
+    n, boolean, shape, date, number, whole = (F.col(k) for k in _KINDS)
     return (
         F.when(n == 0, "string")
         .when(boolean == n, "boolean")

@@ -27,7 +27,7 @@ from tallyframe.operators.fuzzy import large_blocks, pair_blocks, scored_texts,
 from tallyframe.operators.grouping import sum_by_keys
 from tallyframe.operators.joins import comparable
 from tallyframe.operators.nearest import AFTER, BEFORE, CLOSEST, assign
-from tallyframe.operators.numbering import number_rows, number_within, total_order
+from tallyframe.operators.numbering import hot_groups, number_groups, number_rows, number_within, total_order
 from tallyframe.session import cut
 
 METHODS = ("one-to-one", "one-to-many", "many-to-one", "many-to-many")
@@ -158,7 +158,9 @@ def reconcile(
     own = {s: [c for c in tables[s].columns if not c.startswith("__")] for s in SIDES}
 
     block = [f"__k{i}" for i in range(len(plan.exact))]
-    numbered = {s: _numbered(tables[s], s, plan, block) for s in SIDES}
+    counted = [tables[s] for s in SIDES if not _unique_keys(s, plan)]
+    hot = hot_groups(counted, block) if counted else None
+    numbered = {s: _numbered(tables[s], s, plan, block, hot) for s in SIDES}
     if not plan.nearest and not plan.fuzzy:
         joined = {
             s: _attach(numbered[s], numbered[_other(s)], s, plan, own, block + ["__t"]) for s in SIDES
@@ -257,13 +259,17 @@ def _axis(c: Column, t: T.DataType) -> Column:
     return c.cast("double") if is_number(t) else as_text(c, t).try_cast("double")
 
 
-def _numbered(df: DataFrame, side: str, plan: Plan, block: list[str]) -> DataFrame:
+def _unique_keys(side: str, plan: Plan) -> bool:
+    return plan.grouped(side) and not plan.fuzzy
+
+
+def _numbered(df: DataFrame, side: str, plan: Plan, block: list[str], hot: DataFrame | None) -> DataFrame:
     plain = [c for c in df.columns if not c.startswith("__")]
     order = _pair_order(df.select(*cols(plain)), side, plan)
-    if plan.grouped(side) and not plan.fuzzy:
-        numbered = df.withColumn("__t", F.lit(1).cast("long"))  # the keys are unique
+    if _unique_keys(side, plan):
+        numbered = df.withColumn("__t", F.lit(1).cast("long"))
     else:
-        numbered = number_within(df, block, order, "__t")
+        numbered = number_groups(df, block, order, "__t", hot)
     if plan.nearest or plan.fuzzy:
         numbered = numbered.withColumn("__g", F.to_json(F.struct(*block)))
     return numbered
@@ -271,8 +277,10 @@ def _numbered(df: DataFrame, side: str, plan: Plan, block: list[str]) -> DataFra
 
 def _pair_up(placed: DataFrame, others: DataFrame, base: str) -> DataFrame:
     """Pair, per group and place, the i-th base row with the i-th other row: (g, left, right)."""
-    b = number_within(placed, ["q", "place"], [F.col("t")], "n")
-    o = number_within(others.withColumnRenamed("x", "place"), ["q", "place"], [F.col("t")], "n")
+    others = others.withColumnRenamed("x", "place")
+    hot = hot_groups([others], ["q", "place"])  # a place never takes more base rows than it has rows
+    b = number_groups(placed, ["q", "place"], [F.col("t")], "n", hot)
+    o = number_groups(others, ["q", "place"], [F.col("t")], "n", hot)
     o = o.select("q", "place", "n", F.col("t").alias("ot"))
     joined = b.join(o, ["q", "place", "n"])
     left, right = ("t", "ot") if base == "left" else ("ot", "t")

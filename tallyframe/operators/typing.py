@@ -105,10 +105,11 @@ def strict_types(
     types = infer_types(picked, known, formats)
     made = {c: _converted(picked, c, types[c], formats.get(c)) for c in picked.columns}
     if check:
+        asked = list(known)  # an inferred type fits every value already
         lost = picked.agg(*[
-            F.count_if(made[c].isNull() & _present(picked, c)).alias(str(i)) for i, c in enumerate(picked.columns)
-        ]).first()
-        for i, c in enumerate(picked.columns):
+            F.count_if(made[c].isNull() & _present(picked, c)).alias(str(i)) for i, c in enumerate(asked)
+        ]).first() if asked else []
+        for i, c in enumerate(asked):
             if lost[i]:
                 samples = [r[0] for r in bad_values(picked, c, types[c], formats.get(c)).collect()]
                 raise ValueError(f"cannot convert column {c!r} to {types[c]}: {', '.join(map(str, samples))}")

@@ -16,7 +16,7 @@ def _ledgers(t):
     left = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
     right = t.orders.filter("o_orderstatus <> 'P'").select(
         "o_orderkey", "o_custkey", F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit(" / "))).alias("o_orderpriority"),
-        F.round(F.col("o_totalprice") * 1.01, 2).alias("o_totalprice"),
+        (F.col("o_totalprice") + 1250.75).alias("o_totalprice"),
     )
     return left, right
 
@@ -24,7 +24,7 @@ def _ledgers(t):
 _LEDGERS_SQL = """
 WITH l0 AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders),
      r0 AS (SELECT o_orderkey, o_custkey, lower(replace(o_orderpriority, '-', ' / ')) AS o_orderpriority,
-                   round(o_totalprice * 1.01, 2) AS o_totalprice FROM orders WHERE o_orderstatus <> 'P'),
+                   o_totalprice + 1250.75 AS o_totalprice FROM orders WHERE o_orderstatus <> 'P'),
      l AS (SELECT *, upper(regexp_replace(o_orderpriority, '[^a-zA-Z0-9]', '', 'g')) AS k,
                   row_number() OVER (PARTITION BY o_custkey, upper(regexp_replace(o_orderpriority, '[^a-zA-Z0-9]', '', 'g')) ORDER BY o_orderkey) AS rn FROM l0),
      r AS (SELECT *, upper(regexp_replace(o_orderpriority, '[^a-zA-Z0-9]', '', 'g')) AS k,
