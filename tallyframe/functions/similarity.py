@@ -153,8 +153,7 @@ def plain_bound(threshold: float, shared: int) -> float:
 # share a character: the prefix filter. Pairs are split by their number of shared leading characters
 # (0, 1, 2, or 3 and more), since that number fixes how strict the bound is, and by length class.
 _CLASS_BASE = 1.25
-_LEADING_CASES = (0, 1, 2)
-_LEADING_ONLY = 3
+_LEADING_CASES = {0: 0, 1: 1, 2: 2, 3: PREFIX_LENGTH}  # leading characters in the key: most that may be shared
 
 
 def _length_class(n: int) -> int:
@@ -184,12 +183,12 @@ def signatures(text: str, threshold: float, left: bool) -> list[str]:
     n = len(text)
     if n == 0:
         return []
-    keys = [f"{_LEADING_ONLY}|{text[:_LEADING_ONLY]}"] if n >= _LEADING_ONLY else []
+    keys = []
     tokens, own = _rarity(text), _length_class(n)
-    for shared in _LEADING_CASES:
+    for shared, most in _LEADING_CASES.items():
         if n < shared:
             continue
-        bound = plain_bound(threshold, shared)
+        bound = plain_bound(threshold, most)
         ratio = max(3 * bound - 2, 1e-9)  # least shorter/longer ratio
         share = 3 * bound - 1
         for other in range(_length_class(max(1, ceil(ratio * n - 1e-9))), _length_class(max(1, floor(n / ratio + 1e-9))) + 1):

@@ -41,3 +41,8 @@ def normalise_key(c: Column, case_sensitive: bool, ignore_special: bool) -> Colu
     if ignore_special:
         c = F.regexp_replace(c, NOT_ALPHANUMERIC, "")
     return c
+
+
+def group_id(*columns: Column) -> Column:
+    """One text per distinct key tuple; full text forms, so timestamps keep their microseconds."""
+    return F.to_json(F.struct(*[c.cast("string").alias(f"k{i}") for i, c in enumerate(columns)]))

@@ -19,6 +19,7 @@ from tallyframe.functions.similarity import (
     score_pairs,
     signature_column,
 )
+from tallyframe.functions.text import group_id
 from tallyframe.operators.joins import _keyed, _pairs
 from tallyframe.session import BLOCK_PAIRS, cut, setting, spread
 
@@ -224,8 +225,7 @@ def fuzzy_join(
         place = {c: F.col(f"__{'lr'[side]}{i}") for i, c in enumerate(table.columns)}
         texts: list[Column] = [place[p[side]].cast("string").alias(f"{letter}{i}") for i, p in enumerate(f)]
         known = all_of([k.isNotNull() for k in keys] + [place[p[side]].isNotNull() for p in f])
-        block = F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
-        return df.filter(known).select(block.alias("g"), *texts, *[place[c].alias(f"{name}.{c}") for c in kept])
+        return df.filter(known).select(group_id(*keys).alias("g"), *texts, *[place[c].alias(f"{name}.{c}") for c in kept])
 
     l, r = slim(l, left, 0, "a", l_cols, "left"), slim(r, right, 1, "b", r_cols, "right")
     n = range(len(f))

@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.names import all_of, col, cols, field_type, free_name, is_number, is_time, join_keys, require
+from tallyframe.functions.names import all_of, col, cols, field_type, free_name, is_number, is_time, require
 from tallyframe.functions.similarity import MATCH_SCORE
-from tallyframe.functions.text import as_text, normalise_key, numeric_text
+from tallyframe.functions.text import as_text, group_id, normalise_key, numeric_text
 from tallyframe.operators.clean import fill_blanks
 from tallyframe.operators.fuzzy import large_blocks, pair_blocks, scored_texts, split_blocks
 from tallyframe.operators.grouping import sum_by_keys
@@ -171,10 +171,8 @@ def reconcile(
         for s in SIDES:
             o = _other(s)
             # Pairs carry the partner's number; joined to it they have the own key of this side.
-            partner = join_keys(
-                pairs.select(F.col("g").alias("__g"), F.col(o).alias("__t"), F.col(s).alias("__own")),
-                numbered[o], ["__g", "__t"], "inner",
-            ).drop("__t").withColumnRenamed("__own", "__t")
+            matched = pairs.select(F.col("g").alias("__g"), F.col(o).alias("__t"), F.col(s).alias("__own"))
+            partner = numbered[o].join(matched, ["__g", "__t"]).drop("__t").withColumnRenamed("__own", "__t")
             joined[s] = _attach(numbered[s], partner, s, plan, own, ["__g", "__t"])
     return joined["left"], joined["right"]
 
@@ -232,11 +230,13 @@ def _pair_order(df: DataFrame, side: str, plan: Plan) -> list[Column]:
 
 
 def _with_helpers(tables: dict[str, DataFrame], plan: Plan) -> dict[str, DataFrame]:
-    """Add comparable exact keys, fuzzy texts and the basis as a number."""
+    """Add comparable exact keys, fuzzy texts and the basis as a number. No key is NULL: blanks are
+    filled, and a missing value of another type reads as empty text."""
     extra: dict[str, list[Column]] = {s: [] for s in SIDES}
     for i, k in enumerate(plan.exact):
         (a, ta), (b, tb) = ((col(k[s]), field_type(tables[s], k[s])) for s in SIDES)
-        made = comparable(a, ta, b, tb) if _as_is(k) else (_key_text(a, ta, k), _key_text(b, tb, k))
+        plain = _as_is(k) and not any(isinstance(t, T.BooleanType) for t in (ta, tb))
+        made = comparable(a, ta, b, tb) if plain else [F.coalesce(_key_text(c, t, k), F.lit("")) for c, t in ((a, ta), (b, tb))]
         for s, e in zip(SIDES, made):
             extra[s].append(e.alias(f"__k{i}"))
     for i, k in enumerate(plan.fuzzy):
@@ -271,7 +271,7 @@ def _numbered(df: DataFrame, side: str, plan: Plan, block: list[str], hot: DataF
     else:
         numbered = number_groups(df, block, order, "__t", hot)
     if plan.nearest or plan.fuzzy:
-        numbered = numbered.withColumn("__g", F.to_json(F.struct(*block)))
+        numbered = numbered.withColumn("__g", group_id(*cols(block)))
     return numbered
 
 
@@ -325,10 +325,10 @@ def _pairs_by_rounds(base: DataFrame, others: DataFrame, plan: Plan) -> DataFram
     """Large blocks: applications to groups of equal other texts, round by round."""
     n = len(plan.fuzzy)
     a, b = [f"a{i}" for i in range(n)], [f"b{i}" for i in range(n)]
-    others = others.withColumn("q", F.to_json(F.struct("g", *b)))
+    others = others.withColumn("q", group_id(*cols(["g", *b])))
     scored = scored_texts(base, others, n, plan.threshold)
     ranked = number_within(scored, ["g", *a], [F.col("s0").desc(), *cols(b)], "r")
-    choices = cut(ranked.select("g", *a, "r", F.to_json(F.struct("g", *b)).alias("q")))
+    choices = cut(ranked.select("g", *a, "r", group_id(*cols(["g", *b])).alias("q")))
     others = others.select("q", "t", "x")
 
     applying = base.withColumn("r", F.lit(1).cast("long")).join(choices, ["g", *a, "r"])
@@ -373,7 +373,7 @@ def _attach(rows: DataFrame, partner: DataFrame, side: str, plan: Plan, own: dic
     o = _other(side)
     names = _pulled(side, plan, own)
     slim = partner.select(*cols(on), *[col(c).alias(f"__p{i}") for i, c in enumerate(names)], F.lit(True).alias("__hit"))
-    joined = join_keys(rows, slim, on, "left")
+    joined = rows.join(slim, on, "left")
     at = {c: F.col(f"__p{i}") for i, c in enumerate(names)}
     made = [at[c].alias(n) for c, n in names.items()]
     made.append(F.when(F.col("__hit"), MATCHED).alias(STATUS))

@@ -285,3 +285,16 @@ def test_time_basis(spark):
     spec = {"duplicate": "closest", "basis_column": {"left": "day", "right": "day"}}
     a, _ = reconcile(left, right, KEY, VALUE, spec, {"left": ["id"], "right": ["id"]})
     assert pairs_of(a) == {(1, 2)}
+
+
+def test_exact_keys_keep_microseconds_and_booleans(spark):
+    def side(*stamps):
+        df = spark.createDataFrame([(i, s, i % 2 == 0 if i < 2 else None) for i, s in enumerate(stamps)], "id long, s string, flag boolean")
+        return df.select("id", F.to_timestamp_ntz("s").alias("at"), "flag", F.lit(1.0).alias("amt"), F.col("id").cast("double").alias("day"))
+
+    left = side("2024-01-01 00:00:00.000001", "2024-01-01 00:00:00.000002", "2024-01-01 00:00:00.000003")
+    right = side("2024-01-01 00:00:00.000001", "2024-01-01 00:00:00.000009", "2024-01-01 00:00:00.000003")
+    keys = [{"left": "at", "right": "at"}, {"left": "flag", "right": "flag"}]
+    for spec in ({}, {"duplicate": "closest", "basis_column": {"left": "day", "right": "day"}}):
+        a, _ = reconcile(left, right, keys, VALUE, spec, {"left": ["id"], "right": ["id"]})
+        assert pairs_of(a) == {(0, 0), (2, 2)}
