@@ -5,9 +5,10 @@ free place in base order is a stable matching in which every place prefers earli
 matching is unique and does not depend on the sequence of proposals, which allows two ways:
 
 * an ordinary block is settled in one pass inside one task, many blocks per task;
-* a block too large for a task is cut along the axis into chunks of bounded size. All chunks settle
-  at once, rows whose next place lies beyond their chunk travel to the neighbour, and rounds go on
-  until nothing travels. A place keeps its earliest applicants, so the result is the same.
+* a block too large for a task is taken in batches of the base order and cut along the axis into
+  chunks of bounded size. All chunks settle at once, rows whose next place lies beyond their chunk
+  travel to the neighbour, and rounds go on until nothing travels. A place keeps its earliest
+  applicants, so the result is the same.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def assign(base: DataFrame, others: DataFrame, mode: str, ranked: bool = False)
         # Every free place suits a closest match, so rows beyond the number of places stay without one.
         hot_base = hot_base.filter(F.col("t") <= F.col("no"))
     hot_others = join_keys(others, names, ["g"], "left_semi")
-    return cold.unionByName(_assign_chunks(hot_base.drop("no"), hot_others, mode, chunk, visitors))
+    return cold.unionByName(_assign_hot(hot_base.drop("no"), hot_others, mode, chunk, visitors))
 
 
 def settle(
@@ -167,8 +168,44 @@ def _assign_blocks(base: DataFrame, others: DataFrame, mode: str) -> DataFrame:
     return ordered.mapInPandas(run, "g string, t long, place double")
 
 
+def _assign_hot(base: DataFrame, others: DataFrame, mode: str, chunk: int, visitors: int) -> DataFrame:
+    """Hot blocks in batches of the base order.
+
+    What a batch has taken is final for all later rows, so its places are gone for them. A batch is
+    about half as large as the free places: then few rows contend and few travel far. When the free
+    places fit into one chunk, the rest settles at once.
+    """
+    spark = base.sparkSession
+    base = cut(number_within(base, ["g"], [F.col("t")], "n"))
+    others = cut(others.select("g", "x"))
+    # Driver state: one count per hot block, of which there are at most rows / limit.
+    todo = {r["g"]: r["n"] for r in base.groupBy("g").agg(F.max("n").alias("n")).collect()}
+    low = dict.fromkeys(todo, 0)
+    parts = base.filter(F.lit(False)).select("g", "t", F.col("x").cast("double").alias("place"))
+    while True:
+        free = {r["g"]: r["n"] for r in others.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+        bounds = []
+        for g, n in todo.items():
+            left = n - low[g]
+            if left > 0 and free.get(g):
+                take = visitors if free[g] <= chunk else max(free[g] // 2, left // 4)
+                bounds.append((g, low[g], low[g] + take))
+                low[g] += min(take, left)
+        if not bounds:
+            return parts
+        current = spark.createDataFrame(bounds, "g string, low long, high long")
+        batch = base.join(current, "g").filter((F.col("n") > F.col("low")) & (F.col("n") <= F.col("high")))
+        open_others = join_keys(others, current.select("g"), ["g"], "left_semi")
+        placed = cut(_assign_chunks(batch.select("g", "t", "x"), open_others, mode, chunk, visitors))
+        parts = parts.unionByName(placed)
+        used = placed.groupBy("g", F.col("place").alias("x")).agg(F.count(F.lit(1)).alias("used"))
+        lined = number_within(others.select("g", F.col("x").cast("double").alias("x")), ["g", "x"], [F.col("x")], "n")
+        rest = lined.join(used, ["g", "x"], "left").filter(F.col("n") > F.coalesce(F.col("used"), F.lit(0)))
+        others = cut(rest.select("g", "x"))
+
+
 def _assign_chunks(base: DataFrame, others: DataFrame, mode: str, chunk: int, visitors: int) -> DataFrame:
-    """Settle hot blocks by rounds over bounded chunks of their axis."""
+    """Settle a batch by rounds over bounded chunks of the axis."""
     numbered = number_within(others, ["g"], [F.col("x")], "i")
     chunked = numbered.withColumn("c", F.floor((F.col("i") - 1) / F.lit(chunk)).cast("long"))
     places = cut(chunked.groupBy("g", "c", F.col("x").cast("double").alias("x")).agg(F.count(F.lit(1)).alias("room")))
