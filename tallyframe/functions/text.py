@@ -10,6 +10,8 @@ from tallyframe.functions.names import is_fraction
 
 # Fixed value: characters kept when special characters are ignored.
 NOT_ALPHANUMERIC = "[^a-zA-Z0-9]"
+# Fixed value: text that reads as a number.
+NUMBER_SHAPE = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
 
 def as_text(c: Column, t: T.DataType) -> Column:
@@ -29,6 +31,11 @@ def as_text(c: Column, t: T.DataType) -> Column:
     return c.cast("string")
 
 
+def to_number(text: Column) -> Column:
+    """Number in a text, NULL for any other text; the shape test is cheaper than a failing cast."""
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
+
+
 def numeric_text(c: Column, t: T.DataType) -> Column:
     """Text under which ``1`` and ``1.0`` are the same key."""
     text = as_text(c, t)

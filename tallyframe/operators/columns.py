@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.names import col, field_type, is_number, is_time, require
-from tallyframe.functions.text import as_text
+from tallyframe.functions.text import as_text, to_number
 from tallyframe.operators.predicates import WORD_OPERATORS, number
 
 # Arithmetic signs. Division by zero gives NULL.
@@ -100,7 +100,7 @@ def _condition(df: DataFrame, source: str, operator: str, reference: object) ->
     if test in ("eq", "ne", "gt", "ge", "lt", "le"):
         wanted = number(reference)
         if wanted is not None and not is_time(t) and not isinstance(t, T.BooleanType):
-            a, b = (c if is_number(t) else c.try_cast("double")), F.lit(float(wanted))
+            a, b = (c if is_number(t) else to_number(text)), F.lit(float(wanted))
         else:
             a, b = text, F.lit(str(reference))
         found = {

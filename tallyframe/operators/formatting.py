@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import dates
 from tallyframe.functions.names import col, cols, field_type, is_number, is_time, require
-from tallyframe.functions.text import as_text
+from tallyframe.functions.text import as_text, to_number
 from tallyframe.operators.clean import infinite_to_null
 from tallyframe.operators.predicates import WORD_OPERATORS, number
 
@@ -28,7 +28,7 @@ def number_format_expr(df: DataFrame, column: str, kind: str) -> Column:
         return c if is_time(t) else dates.stamp_any(dates.complete_partial(as_text(c, t)))
     if kind not in NUMBER_FORMATS:
         raise ValueError(f"number format must be one of {', '.join(NUMBER_FORMATS)}: {kind!r}")
-    value = c.cast("double") if is_number(t) else F.trim(as_text(c, t)).try_cast("double")
+    value = c.cast("double") if is_number(t) else to_number(as_text(c, t))
     return value / F.lit(100.0) if kind == "percentage" else value
 
 
@@ -52,7 +52,7 @@ def style_expr(df: DataFrame, column: str, conditional: dict) -> Column:
     wanted = number(value)
     if wanted is None:
         return F.lit(None).cast("string")
-    cell = c.cast("double") if is_number(t) else F.trim(as_text(c, t)).try_cast("double")
+    cell = c.cast("double") if is_number(t) else to_number(as_text(c, t))
     bound = F.lit(float(wanted))
     found = {
         "eq": cell == bound, "ne": cell != bound, "gt": cell > bound,

@@ -15,7 +15,7 @@ from tallyframe.functions.names import (
     is_number,
     require,
 )
-from tallyframe.functions.text import numeric_text
+from tallyframe.functions.text import numeric_text, to_number
 
 METHODS = ("inner", "left", "right", "outer")
 CLASSES = ("both", "left_only", "right_only")
@@ -114,7 +114,7 @@ def comparable(a: Column, ta: T.DataType, b: Column, tb: T.DataType, keys_as: st
 
 def _loose(c: Column, t: T.DataType) -> Column:
     text = F.trim(numeric_text(c, t))
-    value = text.try_cast("double")
+    value = to_number(text)
     return F.when(value.isNotNull(), numeric_text(value, T.DoubleType())).otherwise(text)
 
 

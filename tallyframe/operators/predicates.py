@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions import dates
 from tallyframe.functions.names import all_of, col, field_type, is_number, is_text, is_time, require
-from tallyframe.functions.text import as_text
+from tallyframe.functions.text import as_text, to_number
 
 # Operator words of each dialect and the test they stand for.
 TOKEN_OPERATORS = {
@@ -145,7 +145,7 @@ def _compare(c: Column, t: T.DataType, test: str, value: object, dialect: str, a
                 typed = dates.stamp_any(c)
                 return _time_test(typed, T.TimestampNTZType(), test, value, whole_day=dialect == "token")
         if wanted is not None and (ordered or as_type == "number"):
-            return _COMPARE[test](c.try_cast("double"), F.lit(float(wanted)))
+            return _COMPARE[test](to_number(c), F.lit(float(wanted)))
     return _text_test(c, t, test, value, insensitive, False)
 
 
@@ -194,7 +194,7 @@ def _compare_ne(c: Column, t: T.DataType, value: object, dialect: str, as_type:
             return c == _moment(moment, t)
     if is_text(t) and as_type is None and number(value) is not None and dialect == "token":
         same_text = _text_test(c, t, "eq", value, True, False)
-        return same_text | F.coalesce(c.try_cast("double") == F.lit(float(number(value))), F.lit(False))
+        return same_text | F.coalesce(to_number(c) == F.lit(float(number(value))), F.lit(False))
     return _compare(c, t, "eq", value, dialect, as_type)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions import dates
 from tallyframe.functions.names import col, cols, is_fraction, is_number, is_text, is_time
-from tallyframe.functions.text import as_text
+from tallyframe.functions.text import as_text, to_number
 
 # Texts that make a column boolean, and the share of date-like values above which it is a date.
 BOOLEAN_WORDS = ["true", "false", "1", "0", "yes", "no"]
@@ -62,7 +62,7 @@ def _text_counts(df: DataFrame, names: list[str]) -> DataFrame:
     texts = F.array(*[as_text(col(n), df.schema[n].dataType) for n in names])
     values = df.select(F.posexplode(texts).alias("at", "v")).filter(F.col("v").isNotNull())
     v = F.col("v")
-    parsed = v.try_cast("double")
+    parsed = to_number(v)
     labels = F.array(*[F.lit(n) for n in names])
     return values.groupBy("at").agg(
         F.count(v).alias("n"),

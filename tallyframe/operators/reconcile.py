@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions.names import all_of, col, cols, field_type, free_name, is_number, is_time, require
 from tallyframe.functions.similarity import MATCH_SCORE
-from tallyframe.functions.text import as_text, group_id, normalise_key, numeric_text
+from tallyframe.functions.text import as_text, group_id, normalise_key, numeric_text, to_number
 from tallyframe.operators.clean import fill_blanks
 from tallyframe.operators.fuzzy import large_blocks, pair_blocks, scored_texts, split_blocks
 from tallyframe.operators.grouping import sum_by_keys
@@ -256,7 +256,7 @@ def _axis(c: Column, t: T.DataType) -> Column:
         days = F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
         seconds = days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
         return seconds * 1e6 + F.round(F.extract(F.lit("SECOND"), c).cast("double") * 1e6)
-    return c.cast("double") if is_number(t) else as_text(c, t).try_cast("double")
+    return c.cast("double") if is_number(t) else to_number(as_text(c, t))
 
 
 def _unique_keys(side: str, plan: Plan) -> bool:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import dates
 from tallyframe.functions.names import col, field_type, is_number, is_text, is_time
-from tallyframe.functions.text import as_text
+from tallyframe.functions.text import as_text, to_number
 from tallyframe.operators.edits import select_source_order
 from tallyframe.operators.profile import date_formats
 
@@ -27,9 +27,9 @@ def parse_date(df: DataFrame, column: str, fmt: str | None = None) -> Column:
 def _converted(df: DataFrame, column: str, target: str, fmt: str | None) -> Column:
     c, t = col(column), field_type(df, column)
     if target == "integer":
-        return (c if is_number(t) else F.trim(as_text(c, t)).try_cast("double")).try_cast("bigint")
+        return (c if is_number(t) else to_number(as_text(c, t))).try_cast("bigint")
     if target == "float":
-        return c.cast("double") if is_number(t) else F.trim(as_text(c, t)).try_cast("double")
+        return c.cast("double") if is_number(t) else to_number(as_text(c, t))
     if target in ("str", "string"):
         return as_text(c, t)
     if target == "datetime":
@@ -58,7 +58,7 @@ def infer_types(df: DataFrame, known: dict[str, str] | None = None, datetime_for
         if is_time(t):
             found[name] = "datetime"
         elif is_text(t):
-            value = F.trim(col(name)).try_cast("double")
+            value = to_number(col(name))
             checks[name] = [F.count(col(name)), F.count_if(value.isNotNull()), F.count_if(value == F.floor(value))]
             if name in formats:
                 checks[name].append(F.count_if(parse_date(df, name, formats[name]).isNotNull()))
