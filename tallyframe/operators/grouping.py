@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.names import all_of, col, cols, field_type, free_name, is_number, is_text, join_keys, require
+from tallyframe.functions.names import all_of, col, cols, field_type, free_name, is_text, join_keys, require
 from tallyframe.functions.text import as_text
 from tallyframe.operators.numbering import hot_groups, number_within, split_hot
 from tallyframe.session import PIVOT_MAX_COLUMNS, setting
