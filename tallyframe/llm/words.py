@@ -66,3 +66,83 @@ class Words:
 def text_list(column: pd.Series) -> list[str]:
     """Texts as they are, null as the empty text."""
     return [t if isinstance(t, str) else "" for t in column]
+
+
+_MASK = (1 << 64) - 1
+_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
+_BYTES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(9, 14)]] = True
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, kept for the next call."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        inverse = pow(_MULTIPLIER, -1, 1 << 64)
+        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, m & _MASK)]).astype(np.uint64), dtype=np.uint64) for m in (_MULTIPLIER, inverse)]
+    return _POWERS[0], _POWERS[1]
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word in order, index of its text); the same in every process."""
+    data = [t.encode("utf-8", "replace") for t in texts]
+    flat = np.frombuffer(b"\n".join(data) + b"\n", dtype=np.uint8)
+    space = _SPACE[flat]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(flat) and not space[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[::2], edge[1::2]
+    powers, inverse = _powers(len(flat) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[flat] * powers[: len(flat)], dtype=np.uint64)])
+    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    offsets = np.concatenate([[0], np.cumsum([len(x) + 1 for x in data])])
+    return hashes, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(48-bit hash of every run of ``size`` words, index of its text), text by text; a shorter text with words is one run."""
+    h, doc = word_hashes(texts)
+    n = np.bincount(doc, minlength=len(texts))
+    key = np.zeros(len(h), np.uint64)
+    last = len(h) - size + 1
+    out, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if last > 0:
+        inside = np.flatnonzero(doc[:last] == doc[size - 1 :])
+        key = h[inside]
+        for i in range(1, size):
+            key = mix(key * np.uint64(3) + h[inside + i])
+        out, at = key >> np.uint64(16), doc[inside]
+    short = np.flatnonzero((n > 0) & (n < size))
+    if len(short):
+        starts = np.concatenate([[0], np.cumsum(n)])
+        own = []
+        for d in short:
+            key = np.uint64(int(n[d]))
+            for x in h[starts[d] : starts[d + 1]]:
+                key = mix(np.array([key], np.uint64) * np.uint64(3) + x)[0]
+            own.append(key >> np.uint64(16))
+        out, at = np.concatenate([out, np.array(own, np.uint64)]), np.concatenate([at, short])
+    return out, at
+
+
+def weighted_shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, 48-bit hash, times) of the distinct shingles of up to 65,536 texts, sorted by text and hash."""
+    h, doc = shingles(texts, size)
+    key = np.sort((doc.astype(np.uint64) << np.uint64(48)) | h)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), times
