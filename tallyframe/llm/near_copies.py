@@ -14,10 +14,17 @@ from tallyframe.llm.tables import col, keep
 from tallyframe.llm.words import mix, pick, steps, text_list, weighted_shingles
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 8
+# Pairs whose signatures agree in fewer registers than the least similarity less this many standard errors are not verified.
+_ERRORS = 5
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
+def weights(times: np.ndarray) -> np.ndarray:
+    """Weight of a shingle that occurs so many times; the logarithm keeps repeated filler from outweighing the text."""
+    return 1 + np.log(times)
+
+
 def prob_min_hash(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int, size: int) -> np.ndarray:
     """Signatures (``n_docs`` x ``size``) of weighted items: the item that arrives first in each register, 0 if none.
 
@@ -74,7 +81,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int, words: int) -> DataFrame:
-    """doc_id, ``node`` (md5 of the text), ``keys`` (band keys; none for a text without words)."""
+    """doc_id, ``node`` (md5 of the text), ``keys`` (band keys; none for a text without words), ``low`` (a byte per register)."""
     kind = dict(pick(docs, doc_id=doc_id).dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,12 +90,27 @@ def sketches(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int, wor
             for part in steps(texts):
                 some = texts[part]
                 d, item, times = weighted_shingles(some, words)
-                keys = band_keys(prob_min_hash(d, item, times.astype(float), len(some), bands * rows), bands, rows)
+                signature = prob_min_hash(d, item, weights(times), len(some), bands * rows)
+                keys, low = band_keys(signature, bands, rows), signature.astype(np.uint8)
                 found = np.bincount(d, minlength=len(some)) > 0
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[part], "node": b["node"].to_numpy()[part], "keys": [k if f else k[:0] for k, f in zip(keys, found)]})
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[part], "node": b["node"].to_numpy()[part], "keys": [k if f else k[:0] for k, f in zip(keys, found)], "low": [x.tobytes() for x in low]})
 
     src = pick(docs, doc_id=doc_id, t=text).select("doc_id", F.coalesce("t", F.lit("")).alias("t"))
-    return src.withColumn("node", F.unhex(F.md5("t"))).mapInPandas(run, f"doc_id {kind}, node binary, keys array<long>")
+    return src.withColumn("node", F.unhex(F.md5("t"))).mapInPandas(run, f"doc_id {kind}, node binary, keys array<long>, low binary")
+
+
+def likely(pairs: DataFrame, signatures: DataFrame, registers: int, similarity: float) -> DataFrame:
+    """The pairs whose signatures allow the similarity, within a few standard errors."""
+    least = similarity - _ERRORS * np.sqrt(similarity * (1 - similarity) / registers)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), registers) for c in ("low_a", "low_b"))
+                yield b.loc[(x == y).mean(axis=1) >= least, ["a", "b"]]
+
+    x, y = (signatures.select(F.col("node").alias(s), F.col("low").alias(f"low_{s}")) for s in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "low_a", "low_b").mapInPandas(run, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -103,7 +125,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
                 code, distinct = pd.factorize(pd.concat([p["ta"], p["tb"]], ignore_index=True))
                 d, item, times = weighted_shingles(list(distinct), words)
                 at = np.searchsorted(d, np.arange(len(distinct) + 1))
-                v = [(item[x:y], times[x:y].astype(float)) for x, y in zip(at, at[1:])]
+                v = [(item[x:y], weights(times[x:y])) for x, y in zip(at, at[1:])]
                 ok = [probability_jaccard(v[i], v[j]) >= similarity - 1e-9 for i, j in zip(code[: len(p)], code[len(p) :])]
                 yield p.loc[ok, ["a", "b"]]
 
@@ -116,12 +138,17 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows_of = keep(sketches(docs, doc_id, text, bands, rows, words))
     texts = pick(docs, t=text).select(F.unhex(F.md5(F.coalesce("t", F.lit("")))).alias("node"), F.coalesce("t", F.lit("")).alias("t"))
     nodes = rows_of.groupBy("node").agg(F.first("keys").alias("keys"))
+    signatures = rows_of.groupBy("node").agg(F.first("low").alias("low"))
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        return keep(verified(keep(likely(pairs, signatures, bands * rows, similarity)), texts, words, similarity))
+
     member = nodes.select("node", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     member = keep(member.join(shared, "key"))
     # First the pairs with the first text of each bucket: as many as members, however large a bucket is.
     star = member.filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    links = keep(verified(keep(star), texts, words, similarity))
+    links = compare(star)
     root = components(links)
     # Then every pair of a bucket that is still apart, so that no link is lost; copies are together by now.
     apart = member.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -129,20 +156,18 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     apart = keep(apart.join(mixed, "key", "left_semi"))
     x, y = (apart.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
     rest = x.join(y, "key").filter((F.col("root_a") < F.col("root_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = keep(rest.distinct().join(star, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = keep(verified(rest, texts, words, similarity))
-        if not more.isEmpty():
-            root = components(links.union(more))
+    more = compare(rest.distinct())
+    if not more.isEmpty():
+        root = components(links.union(more))
     return rows_of.select("doc_id", "node"), root
 
 
 def near_copies(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, ``class_id`` (least doc_id of its class), ``class_size``.
 
-    Texts are vectors of five-word shingles weighted by their counts; ProbMinHash signatures of 128 registers are cut
-    into 32 bands of 4, so that a pair of similarity 0.8 shares a band with probability 1 - 5e-8. Texts that share a
-    band are verified by the exact probability Jaccard of their vectors, and linked texts form classes. Equal texts are
+    Texts are vectors of five-word shingles weighted by 1 + log(count); ProbMinHash signatures of 384 registers are cut
+    into 48 bands of 8, so that a pair of similarity 0.8 shares a band with probability 0.9998. Texts that share a
+    band and whose signatures allow the similarity are verified by the exact probability Jaccard of their vectors, and linked texts form classes. Equal texts are
     one node from the start. Buckets are first compared with their first text only; what is still apart after
     contraction is compared in full.
 
