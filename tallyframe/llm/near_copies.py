@@ -194,11 +194,10 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     node = F.unhex(F.md5(F.coalesce(col(text), F.lit(""))))
     wordless = F.coalesce(F.length(F.regexp_replace(col(text), "[\\x20\\x09-\\x0D]+", "")) == 0, F.lit(True))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(*[col(n).alias(m) for n, m in zip(docs.columns, names)], col(doc_id).alias("stay_id"), node.alias("stay_node"), wordless.alias("wordless"))
-    count = rows.groupBy(F.col("doc_id").alias("stay_id"), F.col("node").alias("stay_node")).agg(F.count(F.lit(1)).alias("times"))
-    stay = stay.join(count, F.col("stay_id").eqNullSafe(count["stay_id"]) & (stay["stay_node"] == count["stay_node"])).select(stay["stay_id"], stay["stay_node"], "times")
-    kept = plain.filter(~F.col("wordless")).join(stay, (plain["stay_node"] == stay["stay_node"]) & plain["stay_id"].eqNullSafe(stay["stay_id"]))
-    kept = kept.select(*[plain[m] for m in names], plain["stay_node"], "times")
+    plain = docs.select(*[col(n).alias(m) for n, m in zip(docs.columns, names)], col(doc_id).alias("own_id"), node.alias("own_node"), wordless.alias("wordless"))
+    count = rows.groupBy(F.col("doc_id").alias("of_id"), F.col("node").alias("of_node")).agg(F.count(F.lit(1)).alias("times"))
+    stay = stay.join(count, F.col("stay_id").eqNullSafe(F.col("of_id")) & (F.col("stay_node") == F.col("of_node"))).select("stay_id", "stay_node", "times")
+    kept = plain.filter(~F.col("wordless")).join(stay, (F.col("own_node") == F.col("stay_node")) & F.col("own_id").eqNullSafe(F.col("stay_id")))
     once = kept.filter("times = 1").select(*names)
     again = kept.filter("times > 1").dropDuplicates(["stay_node"]).select(*names)
     out = once.union(again).union(plain.filter("wordless").select(*names))
