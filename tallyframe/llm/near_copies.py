@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components
-from tallyframe.llm.tables import col, keep
+from tallyframe.llm.tables import checked_broadcast, col, keep
 from tallyframe.llm.words import mix, pick, steps, text_list, weighted_shingles
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -115,7 +115,8 @@ def likely(pairs: DataFrame, signatures: DataFrame, registers: int, similarity:
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts have a probability Jaccard of ``similarity`` or more."""
-    one = texts.join(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
+    needed = keep(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    one = texts.join(checked_broadcast(needed), "node", "left_semi")
     one = keep(one.groupBy("node").agg(F.min("t").alias("t")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,10 +145,13 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         return keep(verified(keep(likely(pairs, signatures, bands * rows, similarity)), texts, words, similarity))
 
     member = nodes.select("node", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = keep(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     member = keep(member.join(shared, "key"))
-    # First the pairs with the first text of each bucket: as many as members, however large a bucket is.
-    star = member.filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    # First the pairs with one text of each bucket, the one with most company over all its buckets: an original rather
+    # than a copy. As many pairs as members, however large a bucket is.
+    company = member.groupBy("node").agg(F.sum("n").alias("company"))
+    first = member.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node"))["node"].alias("a"))
+    star = member.join(first, "key").filter(F.col("node") != F.col("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     links = compare(star)
     root = components(links)
     # Then every pair of a bucket that is still apart, so that no link is lost; copies are together by now.
@@ -168,7 +172,7 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
     Texts are vectors of five-word shingles weighted by 1 + log(count); ProbMinHash signatures of 384 registers are cut
     into 48 bands of 8, so that a pair of similarity 0.8 shares a band with probability 0.9998. Texts that share a
     band and whose signatures allow the similarity are verified by the exact probability Jaccard of their vectors, and linked texts form classes. Equal texts are
-    one node from the start. Buckets are first compared with their first text only; what is still apart after
+    one node from the start. Buckets are first compared with one text only; what is still apart after
     contraction is compared in full.
 
     A text of one to four words is one shingle. A null or empty text or one without words is in a class of its own, as

@@ -31,3 +31,8 @@ def keep(df: DataFrame) -> DataFrame:
 
 def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def checked_broadcast(kept: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A kept table of a few short columns, marked for broadcast if its counted rows are few; else as it is."""
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
