@@ -98,7 +98,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every word in order, index of its text); the same in every process."""
-    data = [t.encode("utf-8", "replace") for t in texts]
+    hashes, doc, _, _ = placed_hashes([t.encode("utf-8", "replace") for t in texts])
+    return hashes, doc
+
+
+def placed_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, start, end) of the words of texts in UTF-8; places are bytes of the text."""
     flat = np.frombuffer(b"\n".join(data) + b"\n", dtype=np.uint8)
     space = _SPACE[flat]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -109,7 +114,8 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[flat] * powers[: len(flat)], dtype=np.uint64)])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     offsets = np.concatenate([[0], np.cumsum([len(x) + 1 for x in data])])
-    return hashes, np.searchsorted(offsets, starts, side="right") - 1
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    return hashes, doc, starts - offsets[doc], ends - offsets[doc]
 
 
 def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
