@@ -92,7 +92,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 16)
         inverse = pow(_MULTIPLIER, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, m & _MASK)]).astype(np.uint64), dtype=np.uint64) for m in (_MULTIPLIER, inverse)]
+        factors = [np.full(size, np.uint64(m)) for m in (_MULTIPLIER, inverse)]
+        for f in factors:
+            f[0] = 1
+        _POWERS[:] = [np.cumprod(f, dtype=np.uint64) for f in factors]
     return _POWERS[0], _POWERS[1]
 
 
