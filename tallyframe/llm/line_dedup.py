@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components
-from tallyframe.llm.tables import col, keep
+from tallyframe.llm.tables import checked_broadcast, col, keep
 
 EDITS, LEAST_CHARS = 2, 20
 # Texts of a segment group that are compared pair by pair; a larger group is split by segments of what is left of them.
@@ -117,18 +117,30 @@ def _row(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("\n"), text)))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows (key, h, kind) whose key several texts have, one of them segmented."""
+# Keys that are marked for broadcast at most, with the texts of their rows at hand.
+_FEW_KEYS = 500_000
+# Rows with removed lines, of ten lines on average, that are marked for broadcast at most; beyond, texts are shuffled.
+_FEW_ROWS = 200_000
+
+
+def _shared(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """(rows (key, h, kind) whose key several texts have, one of them segmented; whether ``rest`` came along).
+
+    Where the keys are few, their rows are picked out of the scan, with the text; otherwise only short rows are shuffled.
+    """
     found = rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.min("kind").alias("kind"))
     found = keep(found.filter((F.col("low") != F.col("high")) & (F.col("kind") == 0)).select("key"))
-    return keep(rows.join(found, "key", "left_semi").distinct())
+    few = found.count() <= _FEW_KEYS
+    if few:
+        return keep(rows.select("key", "h", "kind", "rest").join(F.broadcast(found), "key", "left_semi").distinct()), True
+    return keep(rows.select("key", "h", "kind").join(found, "key", "left_semi").distinct()), False
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of a segmented and another text under the same key."""
-    a = rows.filter("kind = 0").select("key", F.col("h").alias("a"))
-    b = rows.select("key", F.col("h").alias("b"))
-    return _ordered(a.join(b, "key").filter(F.col("a") != F.col("b")))
+def _without_repeats(rows: DataFrame) -> DataFrame:
+    """Rows of one key for each set of texts: a passage of several segments brings the same texts together once."""
+    sets = rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bit_xor(F.xxhash64("h", "kind")).alias("mix"), F.count(F.lit(1)).alias("n"))
+    one = keep(sets.groupBy("low", "high", "mix", "n").agg(F.min("key").alias("key")).select("key"))
+    return keep(rows.join(checked_broadcast(one), "key", "left_semi"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -144,8 +156,9 @@ def near_lines(lines: DataFrame, edits: int = EDITS, group_texts: int = GROUP_TE
     distance is bounded too. So a group's pairs stay close to the links it has.
     """
     h = F.xxhash64("line").alias("h")
-    rows = _shared(_rows(lines.select(h, F.col("line").alias("rest")), [], None, edits).select("key", "h", "kind"))
-    texts = lines.select(h, "line").join(rows.select("h").distinct(), "h", "left_semi").distinct()
+    rows, whole = _shared(_rows(lines.select(h, F.col("line").alias("rest")), [], None, edits))
+    texts = rows.select("h", F.col("rest").alias("line")).distinct() if whole else lines.select(h, "line").join(rows.select("h").distinct(), "h", "left_semi").distinct()
+    rows = _without_repeats(rows.select("key", "h", "kind").distinct())
     # Lines are told apart by their text; h only brings candidates together.
     texts = keep(texts.withColumn("node", F.unhex(F.md5("line"))))
 
@@ -175,7 +188,7 @@ def near_lines(lines: DataFrame, edits: int = EDITS, group_texts: int = GROUP_TE
     found = [verified(keep(pairs(apart.filter(F.col("n") <= group_texts))))]
     hot = apart.filter(F.col("n") > group_texts).select("key").distinct()
     if not hot.isEmpty():
-        found.append(verified(keep(_ordered(_split(lines, texts, keep(hot), where, edits, group_texts)))))
+        found.append(verified(keep(_ordered(_split(texts, keep(hot), where, edits, group_texts)))))
     more = found[0] if len(found) == 1 else found[0].union(found[1])
     return components(links.union(more)) if not more.isEmpty() else root
 
@@ -186,7 +199,7 @@ def _cross(rows: DataFrame) -> DataFrame:
     return a.join(rows.select("key", F.col("h").alias("b"), F.col("root").alias("root_b")), "key").filter(F.col("root_a") != F.col("root_b")).select("a", "b")
 
 
-def _split(lines: DataFrame, texts: DataFrame, hot: DataFrame, where: DataFrame, edits: int, group_texts: int) -> DataFrame:
+def _split(texts: DataFrame, hot: DataFrame, where: DataFrame, edits: int, group_texts: int) -> DataFrame:
     """Candidate pairs of groups too large to pair: split by what is left of the texts, again and again.
 
     Each level shortens the rests. Once the segmented ones have no more than ``edits`` characters, texts are compared in
@@ -231,7 +244,10 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Shorter lines stay. Edits are counted in code points. A null text stays null, with no lines; an empty text has one
     empty line. Rows that repeat id and text keep the same lines. An empty table gives no rows.
     """
-    cut = removed_lines(docs, doc_id=doc_id, text=text, **options)
+    cut = keep(removed_lines(docs, doc_id=doc_id, text=text, **options))
+    sizes = cut.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("lines")).first()
+    if sizes["rows"] <= _FEW_ROWS and sizes["lines"] <= 10 * _FEW_ROWS:
+        cut = F.broadcast(cut)
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.select(*[col(n).alias(m) for n, m in zip(docs.columns, names)], _row(col(doc_id), F.coalesce(col(text), F.lit(""))).alias("row"))
     at = F.col(names[docs.columns.index(text)])
