@@ -17,6 +17,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 48, 8
 # Pairs whose signatures agree in fewer registers than the least similarity less this many standard errors are not verified.
 _ERRORS = 5
+# Signatures of a block that are compared with another block.
+BLOCK = 256
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -113,6 +115,44 @@ def likely(pairs: DataFrame, signatures: DataFrame, registers: int, similarity:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "low_a", "low_b").mapInPandas(run, "a binary, b binary")
 
 
+def crossing(apart: DataFrame, signatures: DataFrame, registers: int, similarity: float) -> DataFrame:
+    """Likely pairs of texts that share a bucket and are in different components, found in blocks.
+
+    In each bucket, texts outside its largest component meet all texts of the bucket, a block of signatures against a
+    block, so a large bucket is spread over many small matrix comparisons and no pair is a row before it is likely.
+    """
+    least = similarity - _ERRORS * np.sqrt(similarity * (1 - similarity) / registers)
+    roots = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = roots.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    rows = apart.join(keep(main), "key").join(signatures, "node")
+
+    def blocks(df: DataFrame, n, name: str) -> DataFrame:
+        many = F.ceil(n / BLOCK).cast("long")
+        at = F.pmod(F.xxhash64("node"), many).alias(name)
+        count = F.ceil(F.col("n") / BLOCK).cast("long").alias("count")
+        return df.select("key", at, count, F.struct("node", "root", "low").alias("x")).groupBy("key", name, "count").agg(F.collect_list("x").alias(f"{name}_rows"))
+
+    few = blocks(rows.filter(F.col("root") != F.col("main")), F.col("n") - F.col("most"), "p")
+    few = few.select("key", "p_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("q"))
+    both = few.join(blocks(rows, F.col("n"), "q").select("key", "q", "q_rows"), ["key", "q"]).select("p_rows", "q_rows")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ps, qs in zip(b["p_rows"], b["q_rows"]):
+                x, y = (np.frombuffer(b"".join(r["low"] for r in side), np.uint8).reshape(len(side), registers) for side in (ps, qs))
+                _, code = np.unique(np.array([r["root"].hex() for r in [*ps, *qs]]), return_inverse=True)
+                i, j = np.nonzero(code[: len(ps), None] != code[None, len(ps) :])
+                found = []
+                for low in range(0, len(i), 20_000):
+                    part = slice(low, low + 20_000)
+                    ok = (x[i[part]] == y[j[part]]).mean(axis=1) >= least
+                    found += [sorted((ps[k]["node"], qs[m]["node"])) for k, m in zip(i[part][ok], j[part][ok])]
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+
+    return both.mapInPandas(run, "a binary, b binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts have a probability Jaccard of ``similarity`` or more."""
     needed = keep(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
@@ -158,9 +198,7 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     apart = member.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
     apart = keep(apart.join(mixed, "key", "left_semi"))
-    x, y = (apart.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
-    rest = x.join(y, "key").filter((F.col("root_a") < F.col("root_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = compare(rest.distinct())
+    more = keep(verified(keep(crossing(apart, signatures, bands * rows, similarity).distinct()), texts, words, similarity))
     if not more.isEmpty():
         root = components(links.union(more))
     return rows_of.select("doc_id", "node"), root
@@ -173,7 +211,7 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
     into 48 bands of 8, so that a pair of similarity 0.8 shares a band with probability 0.9998. Texts that share a
     band and whose signatures allow the similarity are verified by the exact probability Jaccard of their vectors, and linked texts form classes. Equal texts are
     one node from the start. Buckets are first compared with one text only; what is still apart after
-    contraction is compared in full.
+    contraction is compared in full, in blocks of signatures.
 
     A text of one to four words is one shingle. A null or empty text or one without words is in a class of its own, as
     are documents without a copy; a null id shows as null. Repeated rows are copies of each other; an empty table gives

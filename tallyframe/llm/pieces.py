@@ -157,7 +157,8 @@ class Pieces:
 
         Paths grow from the end of the unit. A path's priority is its own score plus the best forward score of the place
         it has reached, which is exactly what its best completion has, so paths leave the queue in order of their final
-        scores. Equal scores go by the number of pieces, then by ids.
+        scores. Of equal priorities the path that is nearest to the start goes on, so ties do not
+        fan out.
         """
         size = len(unit)
         into: list[list[tuple[int, float, list[int]]]] = [[] for _ in range(size + 1)]
@@ -170,15 +171,21 @@ class Pieces:
                 elif j - i == 1:
                     into[j].append((i, self.missing, self.spell(piece)))
             forward[j] = max(forward[i] + s for i, s, _ in into[j])
-        queue: list[tuple[float, int, list[int], int, float]] = [(-forward[size], 0, [], size, 0.0)]
-        out: list[tuple[float, list[int]]] = []
+        # A path is a chain (ids, the path after it), so that growing it copies nothing.
+        queue: list[tuple] = [(-forward[size], size, 0, 0.0, None)]
+        turn, out = 0, []
         while queue and len(out) < n:
-            f, k, ids, at, g = heapq.heappop(queue)
+            f, at, _, g, path = heapq.heappop(queue)
             if at == 0:
+                ids: list[int] = []
+                while path is not None:
+                    ids += path[0]
+                    path = path[1]
                 out.append((forward[size] + f, ids))
                 continue
             for i, s, own in into[at]:
-                heapq.heappush(queue, (-(g + s + forward[i]), k + 1, own + ids, i, g + s))
+                turn += 1
+                heapq.heappush(queue, (-(g + s + forward[i]), i, turn, g + s, (own, path)))
         return out
 
 
