@@ -33,7 +33,7 @@ class TextSet:
         joined = np.concatenate(self.codes) if len(self.codes) else np.zeros(0, dtype=np.uint32)
         owner = np.repeat(np.arange(len(self.codes)), self.lengths)
         flat = np.bincount(owner * _BINS + (joined % _BINS).astype(np.int64), minlength=len(self.codes) * _BINS)
-        self.bins = np.minimum(flat.reshape(-1, _BINS), 65535).astype(np.uint16)
+        self.bins = flat.reshape(-1, _BINS).astype(np.uint32)
         self.head = self.grid(np.arange(len(self.codes)), PREFIX_LENGTH, 0)
 
     def grid(self, pick: np.ndarray, width: int, pad: int) -> np.ndarray:

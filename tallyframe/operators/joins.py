@@ -115,7 +115,9 @@ def comparable(a: Column, ta: T.DataType, b: Column, tb: T.DataType, keys_as: st
 def _loose(c: Column, t: T.DataType) -> Column:
     text = F.trim(numeric_text(c, t))
     value = to_number(text)
-    return F.when(value.isNotNull(), numeric_text(value, T.DoubleType())).otherwise(text)
+    # Whole numbers of any length keep all their digits; a double would make neighbours equal.
+    whole = F.when(text.rlike("^[+-]?[0-9]+([.]0*)?$"), F.regexp_replace(text, "[.]0*$", "").try_cast("decimal(38,0)").cast("string"))
+    return F.coalesce(whole, F.when(value.isNotNull(), numeric_text(value, T.DoubleType())), text)
 
 
 def match_summary(left: DataFrame, right: DataFrame, key_pairs: list[dict], method: str = "outer", keys_as: str = "typed") -> DataFrame:

@@ -70,8 +70,13 @@ def number(value: object) -> float | int | None:
         return None
     if isinstance(value, (int, float)):
         return value
+    text = str(value).strip()
     try:
-        parsed = float(str(value).strip())
+        return int(text)
+    except ValueError:
+        pass
+    try:
+        parsed = float(text)
     except ValueError:
         return None
     return parsed if parsed == parsed else None
@@ -83,7 +88,7 @@ def truth(value: object) -> bool:
 
 def number_literal(value: float | int, t: T.DataType) -> Column:
     """An integral bound keeps an integral column uncast, so the filter is pushed to the scan."""
-    if isinstance(t, T.IntegralType) and float(value).is_integer() and abs(value) < 2**31:
+    if isinstance(t, T.IntegralType) and float(value).is_integer() and -(2**63) <= int(value) < 2**63:
         return F.lit(int(value))
     return F.lit(float(value))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.names import col, cols, free_name, require
-from tallyframe.operators.numbering import number_rows
+from tallyframe.operators.numbering import number_rows, total_order
 from tallyframe.operators.predicates import filter_rows
 from tallyframe.session import PAGE_TAKE_ROWS, setting
 
@@ -52,13 +52,13 @@ def top_groups(df: DataFrame, label: str, value: str, k: int | None = None) -> D
 
 
 def page(df: DataFrame, config: list[dict], number: int, per_page: int) -> DataFrame:
-    """One page of the sorted table; page numbers start at 1 and are clamped from below.
+    """One page of the sorted table; page numbers start at 1 and are clamped to the pages there are.
 
     A page near the start is a top-k. A deep page numbers the rows across partitions instead, so no
-    task holds all rows before it. ``config`` must end in a key that makes the order total.
+    task holds all rows before it. All other columns complete the order, so both ways show the same rows.
     """
-    number = max(1, number)
-    keys = sort_keys(df, config)
+    number = clamp_page(number, df.count(), per_page) if number > 1 else 1
+    keys = total_order(df, sort_keys(df, config), [c["column"] for c in config])
     skip = (number - 1) * per_page
     if skip + per_page <= setting(df.sparkSession, PAGE_TAKE_ROWS):
         return df.orderBy(*keys).offset(skip).limit(per_page)

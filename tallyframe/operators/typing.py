@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tallyframe.functions import dates
 from tallyframe.functions.names import col, field_type, is_number, is_text, is_time
@@ -24,10 +25,19 @@ def parse_date(df: DataFrame, column: str, fmt: str | None = None) -> Column:
     return dates.parse_any(text, first=dates.spark_pattern(fmt))
 
 
+def _whole(c: Column, t) -> Column:
+    """Whole numbers, exactly: text that is one digit for digit, else a number without a fraction; others do not convert."""
+    if isinstance(t, IntegralType):
+        return c.cast("bigint")
+    value = c.cast("double") if is_number(t) else to_number(as_text(c, t))
+    by_value = F.when((value == F.floor(value)) & (F.abs(value) <= 2**53), value).try_cast("bigint")
+    return by_value if is_number(t) else F.coalesce(F.trim(as_text(c, t)).try_cast("bigint"), by_value)
+
+
 def _converted(df: DataFrame, column: str, target: str, fmt: str | None) -> Column:
     c, t = col(column), field_type(df, column)
     if target == "integer":
-        return (c if is_number(t) else to_number(as_text(c, t))).try_cast("bigint")
+        return _whole(c, t)
     if target == "float":
         return c.cast("double") if is_number(t) else to_number(as_text(c, t))
     if target in ("str", "string"):

@@ -182,43 +182,30 @@ def source_tables(name: str, p: dict) -> list[str]:
     return [p.get("tableName")]
 
 
+def _listed(*items: str) -> str:
+    return ", ".join(_unique(i for i in items if i))
+
+
 def describe(operation: str, parameters: dict) -> str:
-    """One sentence about a step."""
+    """One line about a step: its tables, then what happens to them. Columns have the names that the step is given."""
     name = operation_name(operation)
     p = step_parameters(name, parameters)
-    tables = [t for t in source_tables(name, p) if t]
-    if name == "sort_filter":
-        parts = []
-        if p.get("sortConfig"):
-            parts.append("Sort table {} on column(s) {}".format(tables[0], ", ".join(c["column"] for c in p["sortConfig"])))
-        if p.get("filterConfig"):
-            parts.append("Filter table {} on column(s) {}".format(tables[0], ", ".join(c["column"] for c in p["filterConfig"])))
-        return " and ".join(parts) or f"Copy table {tables[0]}"
-    if name == "add_column":
-        return f"Add column {p.get('newColumnName')} to table {tables[0]} ({p.get('operationType')})"
-    if name == "merge_files":
-        how = p.get("mergeMethod") if p.get("mergeType") == "horizontal" else "vertical"
-        return f"Merge tables {' and '.join(tables)} ({how})"
-    if name == "group_pivot":
-        rows = p.get("rowIndex") or []
-        return f"Group table {tables[0]} by {', '.join([rows] if isinstance(rows, str) else rows)}"
-    if name == "reconcile_files":
-        return f"Reconcile tables {' and '.join(tables)} using the {p['settings'].get('method', 'one-to-one')} method"
-    if name == "edit_file":
-        return f"Set columns and types of table(s) {', '.join(tables)}"
-    if name == "apply_formatting":
-        return f"Format table {tables[0]}"
-    parts, renamed = [], {}
-    for op in p.get("operations") or []:
-        if op.get("type") == "rename_columns" and op.get("mapping"):
-            renamed |= op["mapping"]
-            parts.append(f"Rename columns {', '.join(op['mapping'])}")
-        elif op.get("type") == "reorder_columns" and op.get("order"):
-            parts.append(f"Reorder columns {', '.join(op['order'])}")
-        elif op.get("type") == "delete_columns" and op.get("columns"):
-            parts.append(f"Delete columns {', '.join(op['columns'])}")
-        elif op.get("type") == "replace_values" and op.get("replacements"):
-            touched = _unique(renamed.get(r["column"], r["column"]) for r in op["replacements"])
-            parts.append(f"Replace values in columns {', '.join(touched)}")
-    return " and ".join(parts) or f"Copy table {tables[0]}"
-
+    of = lambda key, field="column": [rule.get(field) for rule in p.get(key) or []]
+    rows = p.get("rowIndex") or []
+    says = {
+        "sort_filter": lambda: [("ordered by", of("sortConfig")), ("rows chosen by", of("filterConfig"))],
+        "add_column": lambda: [("new column", [p.get("newColumnName")]), ("by", [p.get("operationType")])],
+        "merge_files": lambda: [("joined", [p.get("mergeMethod") or "inner"]) if p.get("mergeType") == "horizontal" else ("stacked", ["all rows"])],
+        "group_pivot": lambda: [("one row per", [rows] if isinstance(rows, str) else rows)],
+        "reconcile_files": lambda: [("reconciled", [p["settings"].get("method", "one-to-one")])],
+        "edit_file": lambda: [("columns and types", ["set"])],
+        "apply_formatting": lambda: [("formats", ["set"])],
+    }.get(name, lambda: [_edit_line(op) for op in p.get("operations") or []])
+    parts = [f"{what} {_listed(*found)}" for what, found in says() if _listed(*found)]
+    return f"{_listed(*source_tables(name, p))}: {'; '.join(parts) or 'unchanged'}"
+
+
+def _edit_line(op: dict) -> tuple[str, list[str]]:
+    what, key = {"rename_columns": ("new names for", "mapping"), "reorder_columns": ("column order", "order"),
+                 "delete_columns": ("without", "columns"), "replace_values": ("new values in", "replacements")}.get(op.get("type"), ("", ""))
+    return what, [c["column"] if isinstance(c, dict) else c for c in op.get(key) or []]

@@ -138,15 +138,17 @@ def _(t):
 
 @query(
     "typed_coerce",
-    """SELECT event_id, TRY_CAST(trunc(TRY_CAST(mixed AS DOUBLE)) AS BIGINT) AS mixed, TRY_CAST(amount AS DOUBLE) AS amount,
+    """SELECT event_id, CASE WHEN NOT contains(mixed, '.') THEN TRY_CAST(mixed AS BIGINT) END AS mixed, TRY_CAST(amount AS DOUBLE) AS amount,
               CAST(user_id AS VARCHAR) AS user_id
-       FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN event_type ELSE CAST(user_id AS VARCHAR) END AS mixed,
+       FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN event_type WHEN event_type = 'view' THEN CAST(user_id AS VARCHAR) || '.5'
+                                   ELSE CAST(900719925474000000 + user_id AS VARCHAR) END AS mixed,
                     CASE WHEN value > 50 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS amount, user_id FROM events)""",
 )
 def _(t):
     rows = t.events.select(
         "event_id",
-        F.when(F.col("event_type") == "click", F.col("event_type")).otherwise(F.col("user_id").cast("string")).alias("mixed"),
+        F.when(F.col("event_type") == "click", F.col("event_type")).when(F.col("event_type") == "view", F.concat(F.col("user_id").cast("string"), F.lit(".5")))
+        .otherwise((F.lit(900719925474000000) + F.col("user_id")).cast("string")).alias("mixed"),
         F.when(F.col("value") > 50, "n/a").otherwise(F.col("value").cast("string")).alias("amount"),
         "user_id",
     )

@@ -251,3 +251,15 @@ def _(t):
             {"column": "c_acctbal", "operator": "greater_than", "value": 500},
         ],
     )
+
+
+@query(
+    "filter_big_keys",
+    """SELECT k FROM (SELECT CAST(o_orderkey + 9007199254740000 AS BIGINT) AS k FROM orders) WHERE k >= 9007199254740993 AND k <> 9007199254741001""",
+)
+def _(t):
+    rows = t.orders.select((F.col("o_orderkey") + F.lit(9007199254740000)).cast("bigint").alias("k"))
+    return filter_rows(rows, [
+        {"column": "k", "operator": "greater_equals", "value": "9007199254740993"},
+        {"column": "k", "operator": "not_equals", "value": 9007199254741001},
+    ])

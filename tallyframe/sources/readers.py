@@ -30,14 +30,20 @@ def read_table(
     schema: str | T.StructType | None = None,
     columns: list[str] | None = None,
     null_tokens: tuple[str, ...] | None = None,
+    line_breaks: bool = False,
 ) -> DataFrame:
-    """Read one table. A given ``schema`` spares the inference pass; ``columns`` prune the scan."""
+    """Read one table. A given ``schema`` spares the inference pass; ``columns`` prune the scan.
+
+    In csv a doubled quote inside quotes is a quote. ``line_breaks`` allows line breaks inside quotes; each file is then
+    read by one task.
+    """
     fmt = format_of(path, fmt)
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", schema is None)
+        reader = reader.option("quote", '"').option("escape", '"').option("multiLine", line_breaks)
         if null_tokens:
             reader = reader.option("nullValue", null_tokens[0])
     df = reader.format(fmt).load(path)

@@ -18,7 +18,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     if part_rows:
         writer = writer.option("maxRecordsPerFile", part_rows)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("quote", '"').option("escape", '"')
     writer.format(fmt).save(path)
 
 
