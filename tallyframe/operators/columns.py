@@ -142,6 +142,7 @@ def pattern_expr(df: DataFrame, source: str, pattern: str) -> Column:
     """All matches of ``pattern`` joined; its group when it has one, NULL without a match."""
     require(df, [source])
     groups = re.compile(pattern).groups
+    pattern = pattern.replace("(?P<", "(?<")  # a named group as Java writes it
     if groups > 1:
         raise ValueError("a pattern may hold one capture group")
     if groups == 0:
@@ -167,5 +168,18 @@ def column_expr(df: DataFrame, kind: str, spec: dict) -> Column:
     raise ValueError(f"unknown column operation: {kind!r}")
 
 
+def spelled(df: DataFrame, spec: object, named: bool = False) -> object:
+    """A specification with the column names it gives in another case spelled as in the table."""
+    if isinstance(spec, dict):
+        return {k: spelled(df, v, k in ("sourceColumn", "source_column", "column", "column1", "column2")) for k, v in spec.items()}
+    if isinstance(spec, list):
+        return [spelled(df, v) for v in spec]
+    if named and isinstance(spec, str) and spec not in df.columns:
+        like = [c for c in df.columns if c.lower() == spec.lower()]
+        return like[0] if len(like) == 1 else spec
+    return spec
+
+
 def add_column(df: DataFrame, name: str, kind: str, **spec: object) -> DataFrame:
+    spec = spelled(df, spec)
     return df.withColumn(name, column_expr(df, kind, spec))

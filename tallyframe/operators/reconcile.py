@@ -241,7 +241,7 @@ def _with_helpers(tables: dict[str, DataFrame], plan: Plan) -> dict[str, DataFra
             extra[s].append(e.alias(f"__k{i}"))
     for i, k in enumerate(plan.fuzzy):
         for s in SIDES:
-            extra[s].append(_key_text(col(k[s]), field_type(tables[s], k[s]), k).alias(f"__f{i}"))
+            extra[s].append(F.coalesce(_key_text(col(k[s]), field_type(tables[s], k[s]), k), F.lit("")).alias(f"__f{i}"))
     if plan.nearest:
         for s in SIDES:
             c = plan.basis[s]
@@ -384,7 +384,9 @@ def _attach(rows: DataFrame, partner: DataFrame, side: str, plan: Plan, own: dic
             F.abs(a - b).alias(f"{v[side]}-Difference"),
             value_match(a, b, v.get("threshold_type"), v.get("threshold_value")).alias(f"{v[side]}-Match"),
         ]
-    return joined.select(*cols(own[side]), *made)
+    # A table that was reconciled before gets its status and matches anew.
+    fresh = {STATUS} | {f"{v[side]}-{what}" for v in plan.values for what in ("Difference", "Match")}
+    return joined.select(*cols([c for c in own[side] if c not in fresh]), *made)
 
 
 def value_match(a: Column, b: Column, kind: str | None, bound: float | None) -> Column:

@@ -187,11 +187,15 @@ def replay(
             p = step_parameters(name, parameters)
             result["description"] = describe(name, parameters)
             _check_columns(name, p, run.tables)
-            policy = OVERWRITE if name in _IN_PLACE else step.get("policy", ERROR)
             outputs = STEPS[name](run.tables, p)
+            own = set(source_tables(name, p)) if name in _IN_PLACE else set()
             for output, df in outputs.items():
-                run.tables.put(output, df, policy, step.get("temporary", False))
+                # A step may replace the table it works on, no other one.
+                run.tables.put(output, df, OVERWRITE if output in own else step.get("policy", ERROR), step.get("temporary", False))
             result.update(status="completed", output=", ".join(outputs))
+            if name == "edit_file":
+                lost = [t["tableName"] for t in p.get("tables") or [] if t["tableName"] not in outputs]
+                run.results += [result | {"status": "error", "output": None, "error": f"the columns and types of {t} could not be set"} for t in lost]
         except Exception as error:  # noqa: BLE001 - every failure is a status row
             result.update(status="error", error=str(error))
             stopped = on_error == "stop"
