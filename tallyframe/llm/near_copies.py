@@ -16,7 +16,8 @@ from tallyframe.llm.words import mix, pick, steps, text_list, weighted_shingles
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 48, 8
 # Pairs whose signatures agree in fewer registers than the least similarity less this many standard errors are not verified.
-_ERRORS = 5
+# For the last pairs, whose nearest partners have failed by then, it is a smaller number: one in 700 at 0.8, fewer above.
+_ERRORS, _LAST_ERRORS = 5, 3
 # Signatures of a block that are compared with another block.
 BLOCK = 256
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -115,13 +116,14 @@ def likely(pairs: DataFrame, signatures: DataFrame, registers: int, similarity:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "low_a", "low_b").mapInPandas(run, "a binary, b binary")
 
 
-def crossing(apart: DataFrame, signatures: DataFrame, registers: int, similarity: float) -> DataFrame:
+def crossing(apart: DataFrame, signatures: DataFrame, registers: int, similarity: float, errors: float, nearest: bool) -> DataFrame:
     """Likely pairs of texts that share a bucket and are in different components, found in blocks.
 
     In each bucket, texts outside its largest component meet all texts of the bucket, a block of signatures against a
     block, so a large bucket is spread over many small matrix comparisons and no pair is a row before it is likely.
+    With ``nearest``, only the most similar partner of a text in each block counts.
     """
-    least = similarity - _ERRORS * np.sqrt(similarity * (1 - similarity) / registers)
+    least = similarity - errors * np.sqrt(similarity * (1 - similarity) / registers)
     roots = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = roots.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
     rows = apart.join(keep(main), "key").join(signatures, "node")
@@ -142,11 +144,16 @@ def crossing(apart: DataFrame, signatures: DataFrame, registers: int, similarity
                 x, y = (np.frombuffer(b"".join(r["low"] for r in side), np.uint8).reshape(len(side), registers) for side in (ps, qs))
                 _, code = np.unique(np.array([r["root"].hex() for r in [*ps, *qs]]), return_inverse=True)
                 i, j = np.nonzero(code[: len(ps), None] != code[None, len(ps) :])
-                found = []
+                share = np.zeros(len(i))
                 for low in range(0, len(i), 20_000):
                     part = slice(low, low + 20_000)
-                    ok = (x[i[part]] == y[j[part]]).mean(axis=1) >= least
-                    found += [sorted((ps[k]["node"], qs[m]["node"])) for k, m in zip(i[part][ok], j[part][ok])]
+                    share[part] = (x[i[part]] == y[j[part]]).mean(axis=1)
+                ok = share >= least
+                if nearest and len(i):
+                    first = np.searchsorted(i, np.arange(len(ps)))
+                    first = first[(first < len(i)) & (i[np.minimum(first, len(i) - 1)] == np.arange(len(ps)))]
+                    ok &= share == np.repeat(np.maximum.reduceat(share, first), np.diff(np.append(first, len(i))))
+                found = [sorted((ps[k]["node"], qs[m]["node"])) for k, m in zip(i[ok], j[ok])]
                 if found:
                     yield pd.DataFrame(found, columns=["a", "b"])
 
@@ -194,13 +201,15 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     star = member.join(first, "key").filter(F.col("node") != F.col("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     links = compare(star)
     root = components(links)
-    # Then every pair of a bucket that is still apart, so that no link is lost; copies are together by now.
-    apart = member.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
-    apart = keep(apart.join(mixed, "key", "left_semi"))
-    more = keep(verified(keep(crossing(apart, signatures, bands * rows, similarity).distinct()), texts, words, similarity))
-    if not more.isEmpty():
-        root = components(links.union(more))
+    # Then, across components, the nearest texts of a bucket, and last every pair of what is still apart.
+    for errors, nearest in ((_ERRORS, True), (_LAST_ERRORS, False)):
+        apart = member.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
+        apart = keep(apart.join(mixed, "key", "left_semi"))
+        more = keep(verified(keep(crossing(apart, signatures, bands * rows, similarity, errors, nearest).distinct()), texts, words, similarity))
+        if not more.isEmpty():
+            links = keep(links.union(more))
+            root = components(links)
     return rows_of.select("doc_id", "node"), root
 
 
