@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document has; one that has lost all its words goes."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, short_lines=True)
     gone = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     return _sized(out.filter(~gone).select(*docs.columns))
 

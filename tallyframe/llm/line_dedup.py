@@ -223,10 +223,28 @@ def _split(texts: DataFrame, hot: DataFrame, where: DataFrame, edits: int, group
         level = _rows(again.select("h", "rest", F.col("key").alias("above"), role.alias("as_role")), ["above"], F.col("as_role"), edits)
 
 
-def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS, group_texts: int = GROUP_TEXTS) -> DataFrame:
+def _short_roots(lines: DataFrame, root: DataFrame, edits: int, least_chars: int, group_texts: int) -> DataFrame:
+    """``root`` of the long lines, joined with the links of shorter ones.
+
+    ``least_chars`` characters of the shorter line allow ``edits`` edits, shorter lines proportionally fewer. Lines that
+    allow none are only compared whole.
+    """
+    found = root
+    if edits > 1:
+        chars = F.length("line")
+        few = keep(lines.filter((chars * edits >= least_chars) & (chars < least_chars + edits)).select("line").distinct())
+        for e in range(edits - 1, 0, -1):
+            low, high = -(-least_chars * e // edits), -(-least_chars * (e + 1) // edits) - 1
+            found = found.unionByName(near_lines(few.filter(chars.between(low, high + e)), e, group_texts))
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
+def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS, group_texts: int = GROUP_TEXTS, short_lines: bool = False) -> DataFrame:
     """(row, removed): positions, from 0, of the lines of a row that repeat an earlier line; only rows that have some."""
-    lines = lines_of(docs, doc_id, text, least_chars)
-    root = near_lines(lines.select("line"), edits, group_texts)
+    lines = lines_of(docs, doc_id, text, 1 if short_lines else least_chars)
+    root = near_lines(lines.filter(F.length("line") >= least_chars).select("line"), edits, group_texts)
+    if short_lines:
+        root = _short_roots(lines, root, edits, least_chars, group_texts)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row", "pos")
     seen = keep(lines.select(F.unhex(F.md5("line")).alias("node"), place.alias("place")))
     nodes = keep(seen.groupBy("node").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).join(root, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root")))
@@ -241,7 +259,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Lines of 20 characters or more, without the blanks around them, are compared over all documents: a line goes if an
     earlier one (by doc_id, then position; null ids last) is equal, within two edits, or linked with it through others.
-    Shorter lines stay. Edits are counted in code points. A null text stays null, with no lines; an empty text has one
+    Shorter lines stay, unless ``short_lines`` is set: then every line with a word is compared, those whose shorter one
+    has 10 to 19 characters within one edit, those below 10 as a whole. Edits are counted in code points. A null text stays null, with no lines; an empty text has one
     empty line. Rows that repeat id and text keep the same lines. An empty table gives no rows.
     """
     cut = keep(removed_lines(docs, doc_id=doc_id, text=text, **options))

@@ -29,7 +29,7 @@ def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

@@ -94,6 +94,21 @@ def test_dedup_lines(spark):
     assert got == {1: f"first\n {line}x \nshort", 2: "", 3: "short\nown line of document three, only here"}
 
 
+def test_dedup_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from tallyframe.llm import queries
+
+    rows = [(1, "Read more\n \nHome page top\nnineteen characters"), (2, "Read more \nRead mare\nHome page tap\nHome page tip!"), (3, "nineteen characterss\n\nown\nRead more"), (4, "nineteen charactersst\nown\nHome"), (5, "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: rows[0][1], 2: "Read mare\nHome page tip!", 3: "\nown", 4: "Home", 5: ""}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r.text_sha256 for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    assert sum(r.n_removed for r in got.values()) == 7
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert left == {i: t for i, t in want.items() if t}
+
+
 @here
 def test_near_copies(docs, texts):
     sets = {}
