@@ -43,7 +43,7 @@ def learn_terms(rows: DataFrame, *, least: int = 5, precision: float = 0.95, ste
     """Terms and stems (with ``*``) of toxic rows (t, toxic), with weights below 1.
 
     Evidence is the number of distinct neighbourhoods of a word in toxic and in other rows. A stem is a beginning that
-    several words share and only toxic rows use.
+    several words share and only toxic rows use; words that it leaves out are terms if their own evidence is enough.
     """
     words = rows.mapInPandas(_contexts, "word string, ctx long, toxic boolean").distinct().groupBy("word").agg(
         F.count(F.when(F.col("toxic"), 1)).alias("t"), F.count(F.when(~F.col("toxic"), 1)).alias("c"))
@@ -55,20 +55,24 @@ def learn_terms(rows: DataFrame, *, least: int = 5, precision: float = 0.95, ste
         F.count(F.when(F.col("t") > 0, 1)).alias("n"))
     # Bounded by most_terms: as many rows as a term has beginnings.
     stems = begin.filter(good).orderBy(F.desc("t"), "p").limit(24 * most_terms).collect()
-    short = words.filter(good & (F.length("word") < stem_chars)).orderBy(F.desc("t"), "word").limit(most_terms).collect()
+    own = words.filter(good).orderBy(F.desc("t"), "word").limit(24 * most_terms).collect()
     by = {r["p"]: r for r in stems}
-    terms: dict[str, float] = {r["word"]: r["t"] / (r["t"] + r["c"] + 3) for r in short}
+    terms: dict[str, float] = {}
     for p in sorted(by, key=lambda p: (len(p), p)):
         if any(p[:i] in by for i in range(stem_chars, len(p))):
             continue
         r = by[p]
         if r["top_t"] >= 0.9 * r["t"]:
             name = r["top"]
-        elif r["n"] < 3:
+        elif r["n"] < 3:  # no stem; its words stand for themselves
             continue
         else:  # the longest beginning that nearly all its words share
             name = max((q for q in by if q.startswith(p) and by[q]["t"] >= 0.97 * r["t"]), key=len) + "*"
         terms[name] = r["t"] / (r["t"] + r["c"] + 3)
+    for r in own:
+        w = r["word"]
+        if w not in terms and not any(w[:i] + "*" in terms for i in range(stem_chars, len(w) + 1)):
+            terms[w] = r["t"] / (r["t"] + r["c"] + 3)
     best = sorted(terms, key=lambda x: (-terms[x], x))[:most_terms]
     return [(x, terms[x]) for x in sorted(best)]
 

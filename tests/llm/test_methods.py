@@ -186,6 +186,16 @@ def test_toxicity_held_out(spark):
     assert len(got) > 100 and sum(r.predicted == r.toxic for r in got) / len(got) > 0.97
 
 
+def test_terms_of_few_forms(spark):
+    rows, forms = [], ["vileword"] * 12 + ["vilewords"] * 8 + ["vilest"] * 6 + ["grimtoad"] * 60 + ["grimly"] * 5 + ["ruinx", "ruinxa", "ruinxb"] * 40 + ["ruinous"] * 3
+    rows = [(f"left{i} {w} right{i}", True) for i, w in enumerate(forms)] + [(f"left{i} plain right{i}", False) for i in range(200)]
+    terms = dict(toxicity.learn_terms(spark.createDataFrame(rows, "t string, toxic boolean")))
+    assert {t for t in terms if t[:4] not in ("left", "righ")} == {"vile*", "grimtoad", "grimly", "ruinx*"}
+    rows = [r for r in rows if "vilest" not in r[0]]
+    terms = dict(toxicity.learn_terms(spark.createDataFrame(rows, "t string, toxic boolean")))
+    assert terms["vileword"] == 12 / 15 and terms["vilewords"] == 8 / 11
+
+
 def test_personal_data():
     text = "mail a.b@x.org, ip 10.0.0.256 and 10.0.0.25, card 4111 1111 1111 1111, 4111111111111112, phone +1 (555) 123-4567 é x@y.de"
     got = [(k, text[a:b]) for k, a, b in pii.base_spans(text)]
