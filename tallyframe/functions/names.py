@@ -67,6 +67,12 @@ def free_name(taken: Iterable[str], stem: str) -> str:
     return stem
 
 
+def shared_groups(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of both sides whose group ``g`` the other side has too, so that no one-sided group reaches a task."""
+    names = [df.select("g").distinct() for df in (left, right)]
+    return join_keys(left, names[1], ["g"], "left_semi"), join_keys(right, names[0], ["g"], "left_semi")
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Null-safe equi-join on equally named columns that keeps the left keys only.
 

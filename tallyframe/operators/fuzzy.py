@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.batches import sorted_groups
-from tallyframe.functions.names import all_of, col, cols, join_keys, require
+from tallyframe.functions.names import all_of, col, cols, join_keys, require, shared_groups
 from tallyframe.functions.similarity import (
     MATCH_SCORE,
     TextSet,
@@ -91,7 +91,8 @@ def score_by_signature(l: DataFrame, r: DataFrame, texts: int, threshold: float)
 
 
 def _sides(l: DataFrame, r: DataFrame, texts: int, extra: list[str]) -> DataFrame:
-    """Both sides of each block in one task, sorted by block, side and ``t``."""
+    """Both sides of each block that both have in one task, sorted by block, side and ``t``."""
+    l, r = shared_groups(l, r)
     l = l.select("g", F.lit(0).alias("side"), *extra, *[F.col(f"a{i}").alias(f"v{i}") for i in range(texts)])
     r = r.select("g", F.lit(1).alias("side"), *extra, *[F.col(f"b{i}").alias(f"v{i}") for i in range(texts)])
     return spread(l.unionByName(r), "g").sortWithinPartitions("g", "side", *[e for e in extra if e == "t"])

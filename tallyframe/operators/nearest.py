@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.batches import sorted_groups
-from tallyframe.functions.names import join_keys
+from tallyframe.functions.names import join_keys, shared_groups
 from tallyframe.operators.numbering import number_within
 from tallyframe.session import CHUNK_ROWS, VISITOR_ROWS, cut, setting, spread
 
@@ -139,7 +139,8 @@ def _first_bounds(x: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _assign_blocks(base: DataFrame, others: DataFrame, mode: str) -> DataFrame:
-    """Settle whole blocks; many small blocks share a task and a batch."""
+    """Settle whole blocks that both sides have; many small blocks share a task and a batch."""
+    base, others = shared_groups(base, others)
     rows = others.select("g", F.lit(None).cast("long").alias("t"), F.col("x").cast("double").alias("x")).unionByName(
         base.select("g", "t", F.col("x").cast("double").alias("x"))
     )

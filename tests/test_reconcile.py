@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.similarity import TextSet, jaro_winkler_scores, score_pairs, signatures
-from tallyframe.operators import nearest
+from tallyframe.operators import fuzzy, nearest
 from tallyframe.operators.fuzzy import fuzzy_join, scored_texts
 from tallyframe.operators.reconcile import block_sizes, check_spec, reconcile, statistics
 
@@ -298,3 +298,30 @@ def test_exact_keys_keep_microseconds_and_booleans(spark):
     for spec in ({}, {"duplicate": "closest", "basis_column": {"left": "day", "right": "day"}}):
         a, _ = reconcile(left, right, keys, VALUE, spec, {"left": ["id"], "right": ["id"]})
         assert pairs_of(a) == {(0, 0), (2, 2)}
+
+
+@pytest.mark.parametrize("duplicate", ["first", "closest", "before", "after", "fuzzy", "join"])
+def test_one_sided_groups_reach_no_task(spark, monkeypatch, duplicate):
+    dealt = []
+
+    def watched(df, *keys):
+        dealt.append(df)
+        return spread(df, *keys)
+
+    spread = nearest.spread
+    monkeypatch.setattr(nearest, "spread", watched)
+    monkeypatch.setattr(fuzzy, "spread", watched)
+    left = table(spark, [("", i, f"text {i}", 1.0, float(i)) for i in range(500)] + [("a", 900, "jon smith", 1.0, 3.0)])
+    right = table(spark, [("only", i, f"text {i}", 1.0, float(i)) for i in range(400)] + [("a", 901, "john smith", 1.0, 3.0)])
+    if duplicate == "join":
+        got = [(r["left.id"], r["right.id"]) for r in fuzzy_join(left, right, KEY, [{"left": "name", "right": "name"}], ["id"], ["id"]).collect()]
+    else:
+        words = {"before": "immediately_before", "after": "immediately_after"}
+        keys = [{**KEY[0], "criteria": "exact"}] + ([{"left": "name", "right": "name", "criteria": "fuzzy"}] if duplicate in ("first", "fuzzy") else [])
+        settings = {"method": "one-to-one", "duplicate": words.get(duplicate, "closest"), "basis_table": "left", "basis_column": {"left": "day", "right": "day"}}
+        if duplicate == "first":
+            settings = {"method": "one-to-one"}
+        out, _ = reconcile(left, right, keys, VALUE, settings, {"left": ["id"], "right": ["id"]})
+        got = sorted(pairs_of(out))
+    assert got == [(900, 901)]
+    assert dealt and [df.count() for df in dealt] == [2] * len(dealt)
