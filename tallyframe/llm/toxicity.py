@@ -82,7 +82,7 @@ class Scorer:
 
     def __init__(self, terms: list[tuple[str, float]], edits: int = 1, window: int = 60):
         self.weights = np.array([w for _, w in terms])
-        self.lexicon, self.window = Lexicon([t for t, _ in terms], edits), window
+        self.lexicon, self.window = Lexicon([t for t, _ in terms], edits, least=4, fuzzy_stems=True), window
         self.ordinary: frozenset[str] = frozenset()
         self.curve = (-3.0, 4.0)
 
@@ -165,9 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         for b in batches:
             texts = text_list(b["t"])
             for _, t, hits in scorer.hits(texts):
-                yield pd.DataFrame({"word": sorted({t[a:e] for a, e, _, near in hits if near})})
+                if found := sorted({t[a:e] for a, e, _, near in hits if near}):
+                    yield pd.DataFrame({"word": found})
 
-    # Words within an edit of a term that clean rows use are ordinary words, not misspellings; at most one per edit of a term.
+    # Words within an edit of a term, and beginnings within an edit of a stem, that clean rows use are ordinary, not
+    # misspellings; at most one per edit of a term or stem.
     clean = rows.filter(~F.col("toxic") & fit).select("t").mapInPandas(spelled, "word string").distinct()
     scorer.ordinary = frozenset(r["word"] for r in clean.collect())
 
@@ -186,8 +188,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     """One row per document: ``held_out``, ``score`` (0 to 1), ``predicted``, and the counts behind them.
 
     Words and stems that only toxic labelled rows use form a lexicon. Its trie, intersected with the Levenshtein
-    automaton of one edit, runs over every word of every whole text; a misspelled term counts less, and a term that
-    clean rows know as another word does not count. In a window around each hit, quotation marks lower its weight and
+    automaton of one edit, runs over every word of every whole text: terms of four letters or more and the letters of
+    stems take the edit, shorter terms count unchanged only. A misspelled term counts less, and one that clean rows know
+    as another word, or as the beginning of other words, does not count. In a window around each hit, quotation marks lower its weight and
     other hits raise it. A logistic curve learned from further labelled rows turns the evidence into the score.
 
     A null or empty text has no evidence: the lowest score. Repeated rows are scored each; an empty table gives no

@@ -163,6 +163,27 @@ def test_automaton():
     assert got == want
 
 
+def test_automaton_stems():
+    terms, rng = ["scum", "idi", "lowei*", "scab*", "idiot"], random.Random(15)
+    lexicon = toxicity.Scorer([(t, 0.9) for t in terms]).lexicon
+    probes = {"".join(rng.choice("idotscumablwe") for _ in range(rng.randint(2, 8))) for _ in range(3000)}
+    probes |= {"".join(c for i, c in enumerate(t + "ab") if i != k) for t in ("lowei", "scab", "scum", "idiot") for k in range(7)} | {"loweiab", "lowe", "lxwei", "lxweiab", "scm", "scumm", "sscabx"}
+    text = " ".join(sorted(probes))
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    got = {text[a:].split(" ")[0]: (bool(near), text[a:b]) for a, b, _, near in zip(*lexicon.hits(codes))}
+    want = {}
+    for p in probes:
+        if p in ("scum", "idi", "idiot"):
+            want[p] = (False, p)
+        elif p.startswith(("lowei", "scab")):
+            want[p] = (False, p[: 5 if p[0] == "l" else 4])
+        elif any(edit(p, t) <= 1 for t in ("scum", "idiot")):
+            want[p] = (True, p)
+        elif near := [p[:k] for k in range(3, 7) if any(edit(p[:k], t) <= 1 for t in ("lowei", "scab"))]:
+            want[p] = (True, near[0])
+    assert got == want
+
+
 def test_quotation():
     s = toxicity.Scorer([("idiot", 0.99), ("moron", 0.99)])
     e = s.evidence(['he said "you idiot" to them', "you idiot, you moron", "you idiott", "nothing here", "“an idiot” they wrote", 'one "quoted word" and an idiot "again"'])
