@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import licenses, line_dedup, near_copies, outliers, packing, pieces, pii, secrets, top_k, toxicity
+from tallyframe.llm import licenses, line_dedup, near_copies, outliers, packing, passages, pieces, pii, secrets, top_k, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 @_query
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.repeated_passages(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
