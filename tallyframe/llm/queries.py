@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import licenses, line_dedup, near_copies, outliers, packing, passages, pieces, pii, secrets, top_k, toxicity
+from tallyframe.llm import codes, licenses, line_dedup, near_copies, outliers, packing, passages, pieces, pii, secrets, top_k, toxicity, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,3 +89,38 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passages.repeated_passages(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@_query
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _codes_sql() -> str:
+    """Two rounds over (vector, part, place, component) rows; the nearest entry is the least of (distance, entry)."""
+    ctes = ["""v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), w AS (SELECT r, unnest(x) AS val, unnest(range(len(x))) AS d, len(x) // 16 AS wide FROM v
+), u AS MATERIALIZED (SELECT r, d // wide AS p, d % wide AS j, val FROM w
+), b0 AS MATERIALIZED (SELECT p, r - 1 AS e, j, val FROM u WHERE r <= 64)"""]
+    near = lambda k: f"""n{k} AS MATERIALIZED (SELECT r, p, min(row(dist, e)) AS best FROM (
+  SELECT u.r, u.p, b.e, sum((u.val - b.val) * (u.val - b.val)) AS dist FROM u JOIN b{k} b ON u.p = b.p AND u.j = b.j GROUP BY u.r, u.p, b.e) GROUP BY r, p)"""
+    for k in range(2):
+        ctes.append(near(k))
+        ctes.append(f"""m{k} AS (SELECT u.p, n.e, u.j, sum(u.val) AS s, count(*) AS c FROM u JOIN (SELECT r, p, best[2] AS e FROM n{k}) n ON u.r = n.r AND u.p = n.p GROUP BY u.p, n.e, u.j
+), b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, b.j, coalesce(CAST((m.s - ((m.s % m.c) + m.c) % m.c) // m.c AS BIGINT), b.val) AS val FROM b{k} b LEFT JOIN m{k} m ON b.p = m.p AND b.e = m.e AND b.j = m.j)""")
+    ctes.append(near(2))
+    ctes.append("""c AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM n2 GROUP BY r
+), h AS (SELECT sha256(string_agg(CAST(val AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM b2)""")
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (r) CROSS JOIN h"""
+
+
+SQL["op12_codes"] = _codes_sql()
+
+
+@_query
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations")
+    return turns.repair(given, turns.damage(given))
