@@ -13,6 +13,9 @@ NOT_ALPHANUMERIC = "[^a-zA-Z0-9]"
 # Fixed value: text that reads as a number.
 NUMBER_SHAPE = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
+# Fixed value: sign, whole digits, fraction digits and exponent of such a text.
+NUMBER_PARTS = r"^\s*([-+]?)(\d*)\.?(\d*)(?:[eE]([-+]?\d+))?\s*$"
+
 
 def as_text(c: Column, t: T.DataType) -> Column:
     """Text of a value; fractions keep plain decimals (``10000000.0``), not ``1.0E7``."""
@@ -31,6 +34,24 @@ def as_text(c: Column, t: T.DataType) -> Column:
     return c.cast("string")
 
 
+def exact_text(c: Column, t: T.DataType) -> Column:
+    """Text that only equal values of one type share: all digits of a fraction, and one zero."""
+    return F.when(c == 0, "0.0").otherwise(c.cast("string")) if is_fraction(t) else as_text(c, t)
+
+
+def number_key(text: Column) -> Column:
+    """One text per number, whatever its type, length or notation: sign, digits and power of ten; NULL for other texts.
+
+    Digits are moved as text, so ``1200``, ``1.2E3`` and ``01200.0`` agree and numbers of any length keep every digit.
+    """
+    part = lambda i: F.regexp_extract(text, NUMBER_PARTS, i)
+    digits = F.ltrim(F.concat(part(2), part(3)), F.lit("0"))
+    shown = F.rtrim(digits, F.lit("0"))
+    power = F.when(part(4) == "", 0).otherwise(part(4).try_cast("long")) - F.length(part(3)) + F.length(digits) - F.length(shown)
+    key = F.when(shown == "", "0").otherwise(F.concat(F.when(part(1) == "-", "-").otherwise(""), shown, F.lit("e"), power.cast("string")))
+    return F.when(text.rlike(NUMBER_SHAPE), key)
+
+
 def to_number(text: Column) -> Column:
     """Number in a text, NULL for any other text; the shape test is cheaper than a failing cast."""
     return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.names import all_of, col, cols, field_type, free_name, is_text, join_keys, require
 from tallyframe.functions.text import as_text
@@ -42,8 +43,8 @@ def _aggregate(df: DataFrame, name: str, how: str, order: list[str]) -> Column:
     if how == "sum":
         return F.coalesce(F.sum(c), F.lit(0))
     if how in ("first", "last"):
-        if not order:
-            return (F.first if how == "first" else F.last)(c, ignorenulls=True)
+        # Without an order the whole row gives one, so that the answer does not depend on which task ends first.
+        order = order or [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
         key = F.when(c.isNotNull(), F.struct(*cols(order)))
         return (F.min_by if how == "first" else F.max_by)(c, key)
     plain = {
@@ -133,7 +134,7 @@ def pivot(
     label = free_name(df.columns, "__label")
     text = F.concat_ws("|", *[as_text(col(h), field_type(df, h)) for h in heads])
     if headers is None:
-        found = df.select(*cols(heads), text.alias(label)).dropna().distinct().limit(limit + 1).collect()
+        found = df.dropna(subset=rows + heads).select(*cols(heads), text.alias(label)).distinct().limit(limit + 1).collect()
         labels = [r[-1] for r in sorted(found, key=lambda r: tuple(r)[:-1])]
     else:
         labels = _labels(df, heads, headers)
@@ -145,10 +146,12 @@ def pivot(
         .pivot(label, labels)
         .agg(*[F.first(F.col(f"__v{i}"), ignorenulls=True).alias(f"__v{i}") for i in range(len(names))])
     )
+    # The cells are taken by place: headers may differ in case only.
+    placed = spread.toDF(*[f"r{i}" for i in range(len(rows))], *[f"c{i}" for i in range(len(labels) * len(names))])
     made = [
-        col(x if len(names) == 1 else f"{x}___v{i}").alias(f"{n}|{x}") for i, n in enumerate(names) for x in labels
+        F.col(f"c{j * len(names) + i}").alias(f"{n}|{x}") for i, n in enumerate(names) for j, x in enumerate(labels)
     ]
-    return spread.select(*cols(rows), *made)
+    return placed.select(*[F.col(f"r{i}").alias(r) for i, r in enumerate(rows)], *made)
 
 
 def _labels(df: DataFrame, heads: list[str], headers: list[tuple]) -> list[str]:

@@ -15,7 +15,7 @@ from tallyframe.functions.names import (
     is_number,
     require,
 )
-from tallyframe.functions.text import numeric_text, to_number
+from tallyframe.functions.text import exact_text, number_key, numeric_text
 
 METHODS = ("inner", "left", "right", "outer")
 CLASSES = ("both", "left_only", "right_only")
@@ -106,18 +106,20 @@ def comparable(a: Column, ta: T.DataType, b: Column, tb: T.DataType, keys_as: st
         if ta == tb:
             return a, b
         if is_number(ta) and is_number(tb):
-            integral = isinstance(ta, T.IntegralType) and isinstance(tb, T.IntegralType)
-            kind = "bigint" if integral else "double"
-            return a.cast(kind), b.cast(kind)
+            if isinstance(ta, T.IntegralType) and isinstance(tb, T.IntegralType):
+                return a.cast("bigint"), b.cast("bigint")
+            # A whole number and a fraction meet as digits: as doubles, neighbours beyond 2^53 would be equal.
+            return _number_or_text(a, ta), _number_or_text(b, tb)
     return numeric_text(a, ta), numeric_text(b, tb)
 
 
 def _loose(c: Column, t: T.DataType) -> Column:
-    text = F.trim(numeric_text(c, t))
-    value = to_number(text)
-    # Whole numbers of any length keep all their digits; a double would make neighbours equal.
-    whole = F.when(text.rlike("^[+-]?[0-9]+([.]0*)?$"), F.regexp_replace(text, "[.]0*$", "").try_cast("decimal(38,0)").cast("string"))
-    return F.coalesce(whole, F.when(value.isNotNull(), numeric_text(value, T.DoubleType())), text)
+    return _number_or_text(c, t)
+
+
+def _number_or_text(c: Column, t: T.DataType) -> Column:
+    text = F.trim(exact_text(c, t))
+    return F.coalesce(number_key(text), text)
 
 
 def match_summary(left: DataFrame, right: DataFrame, key_pairs: list[dict], method: str = "outer", keys_as: str = "typed") -> DataFrame:

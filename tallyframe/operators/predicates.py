@@ -88,9 +88,12 @@ def truth(value: object) -> bool:
 
 def number_literal(value: float | int, t: T.DataType) -> Column:
     """An integral bound keeps an integral column uncast, so the filter is pushed to the scan."""
-    if isinstance(t, T.IntegralType) and float(value).is_integer() and -(2**63) <= int(value) < 2**63:
+    if isinstance(t, T.IntegralType) and (isinstance(value, int) or float(value).is_integer()) and -(2**63) <= int(value) < 2**63:
         return F.lit(int(value))
-    return F.lit(float(value))
+    try:
+        return F.lit(float(value))
+    except OverflowError:
+        return F.lit(float("inf") if value > 0 else float("-inf"))
 
 
 def _fold(text: Column, value: str, insensitive: bool) -> tuple[Column, str]:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions import dates
 from tallyframe.functions.names import col, cols, is_fraction, is_number, is_text, is_time
-from tallyframe.functions.text import as_text, to_number
+from tallyframe.functions.text import as_text, exact_text, to_number
 
 # Texts that make a column boolean, and the share of date-like values above which it is a date.
 BOOLEAN_WORDS = ["true", "false", "1", "0", "yes", "no"]
@@ -128,7 +128,7 @@ def summary(df: DataFrame, approximate: bool = False) -> DataFrame:
     column and no frequent value gathers in one task.
     """
     fields = df.schema.fields
-    values = [as_text(_plain(f), f.dataType) for f in fields]
+    values = [exact_text(_plain(f), f.dataType) for f in fields]
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(_plain(f)).alias(f"n{i}") for i, f in enumerate(fields)],

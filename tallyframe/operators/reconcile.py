@@ -365,6 +365,13 @@ def _pulled(side: str, plan: Plan, own: dict[str, list[str]]) -> dict[str, str]:
         names[ref] = ref + _MARK[o] if ref in plan.refs[side] or ref in taken else ref
     for v in plan.values:
         names.setdefault(v[o], v[o] + _MARK[o] if v[o] in taken else v[o])
+    # An output that is reconciled again has such names already; each further time adds the mark once more.
+    used = {c.lower() for c in taken} | {STATUS.lower()}
+    for ref, name in names.items():
+        while name.lower() in used:
+            name += _MARK[o]
+        used.add(name.lower())
+        names[ref] = name
     return names
 
 

@@ -169,3 +169,30 @@ def _(t):
 )
 def _(t):
     return horizontal_bars(t.supplier, "s_name", [{"column": "s_acctbal"}, {"column": "s_nationkey"}])
+
+
+@query(
+    "pivot_mixed_case",
+    """SELECT o_orderpriority, round(coalesce(sum(o_totalprice) FILTER (WHERE flag = 'Yes'), 0), 2) AS "o_totalprice|Yes",
+              round(coalesce(sum(o_totalprice) FILTER (WHERE flag = 'yes'), 0), 2) AS "o_totalprice|yes "
+       FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'Yes' ELSE 'yes' END AS flag FROM orders) GROUP BY o_orderpriority""",
+)
+def _(t):
+    """Headers that differ in case only are columns of their own; the second is renamed here, as SQL could not hold both."""
+    flagged = t.orders.withColumn("flag", F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("yes"))
+    made = pivot(flagged, "o_orderpriority", "flag", [{"column": "o_totalprice", "aggregation": "sum"}])
+    return _rounded(made.toDF("o_orderpriority", "o_totalprice|Yes", "o_totalprice|yes "), ["o_totalprice|Yes", "o_totalprice|yes "])
+
+
+@query(
+    "pivot_null_rows",
+    """SELECT nullif(o_orderstatus, 'P') AS state, count(o_orderkey) FILTER (WHERE o_orderpriority = '1-URGENT') AS "o_orderkey|1-URGENT",
+              count(o_orderkey) FILTER (WHERE o_orderpriority = '5-LOW') AS "o_orderkey|5-LOW"
+       FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1""",
+)
+def _(t):
+    """A header that only rows without a key have gives no column."""
+    rare = t.orders.filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW") | (F.col("o_orderstatus") == "P"))
+    keyed = rare.withColumn("state", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
+    made = pivot(keyed, "state", "o_orderpriority", [{"column": "o_orderkey", "aggregation": "count"}])
+    return made.select("state", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in made.columns[1:]])

@@ -206,3 +206,31 @@ def _(t):
 )
 def _(t):
     return union_all_columns([t.customer, t.supplier, t.part])
+
+
+_LONG_KEYS = "1234567890123456789012345678901234567890"
+
+
+@query(
+    "merge_loose_big_keys",
+    f"""SELECT c_custkey, key, n FROM (SELECT c_custkey, '{_LONG_KEYS}' || CAST(c_custkey AS VARCHAR) AS long_key FROM customer)
+       JOIN (SELECT '{_LONG_KEYS}' || CAST(o_custkey AS VARCHAR) || '.0' AS key, count(*) AS n FROM orders GROUP BY o_custkey) ON long_key || '.0' = key""",
+)
+def _(t):
+    """Numbers in texts of more than forty digits: neighbours stay apart, notations agree."""
+    people = t.customer.select("c_custkey", F.concat(F.lit(_LONG_KEYS), F.col("c_custkey").cast("string")).alias("long_key"))
+    counts = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(F.concat(F.lit(_LONG_KEYS), F.col("o_custkey").cast("string"), F.lit(".0")).alias("key"), "n")
+    return merge(people, counts, [{"left": "long_key", "right": "key"}], "inner", keys_as="loose").drop("long_key")
+
+
+@query(
+    "merge_bigint_double",
+    """SELECT big, half FROM (SELECT 9007199254740992 + c_custkey AS big FROM customer)
+       JOIN (SELECT CAST(9007199254740992 + 2 * c_custkey AS DOUBLE) AS half FROM customer) ON CAST(big AS HUGEINT) = CAST(half AS HUGEINT)""",
+)
+def _(t):
+    """Whole numbers beyond 2^53 meet fractions exactly: only those that a double can hold find a partner."""
+    big = t.customer.select((F.col("c_custkey") + F.lit(9007199254740992)).alias("big"))
+    half = t.customer.select((F.col("c_custkey") * 2 + F.lit(9007199254740992)).cast("double").alias("half"))
+    return merge(big, half, [{"left": "big", "right": "half"}], "inner")

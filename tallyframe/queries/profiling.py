@@ -262,3 +262,14 @@ def _(t):
 @query("schema_superset", f"""SELECT * FROM ({_COMPARE}) WHERE status <> 'extra'""")
 def _(t):
     return compare_profiles(*_two_profiles(t), allow_extra=True)
+
+
+@query(
+    "profile_small_fractions",
+    """SELECT 'tiny' AS "column", count(*) AS rows, 0 AS nulls, count(DISTINCT o_totalprice / 1e12) AS "distinct" FROM orders
+       UNION ALL SELECT 'zero', count(*), 0, 1 FROM orders""",
+)
+def _(t):
+    """Distinct fractions far below the digits of a plain text, and zeros of both signs."""
+    zero = F.when(F.col("o_orderkey") % 2 == 0, F.lit(0.0)).otherwise(F.lit(-1.0) * F.lit(0.0))
+    return summary(t.orders.select((F.col("o_totalprice") / F.lit(1e12)).alias("tiny"), zero.alias("zero")))

@@ -1,13 +1,16 @@
 """Scans, filters, sorts and pages."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyframe.operators.edits import select_requested_order
 from tallyframe.operators.predicates import filter_rows
 from tallyframe.operators.sorting import head, page, page_info, sort_filter
 from tallyframe.queries.registry import query
-from tallyframe.sources.readers import tokens_to_null
-from tallyframe.sources.writers import part_counts
+from tallyframe.session import shared_folder
+from tallyframe.sources.readers import read_table, tokens_to_null
+from tallyframe.sources.writers import part_counts, write_table
 
 
 @query("scan_columns", "SELECT c_custkey, c_name, c_acctbal FROM customer")
@@ -263,3 +266,15 @@ def _(t):
         {"column": "k", "operator": "greater_equals", "value": "9007199254740993"},
         {"column": "k", "operator": "not_equals", "value": 9007199254741001},
     ])
+
+
+@query(
+    "scan_line_breaks",
+    """SELECT o_orderkey, o_orderstatus || chr(10) || '"' || o_orderpriority || '",' || chr(13) || chr(10) || 'x' AS note, o_totalprice FROM orders""",
+)
+def _(t):
+    """A table written as csv with line breaks, quotes and commas in its cells, and read back in splits."""
+    note = F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('",\r\nx'))
+    path = f"{shared_folder(t.spark)}/csv-{uuid.uuid4().hex}"
+    write_table(t.orders.select("o_orderkey", note.alias("note"), "o_totalprice"), path, "csv")
+    return read_table(t.spark, path, "csv", schema="o_orderkey long, note string, o_totalprice double")

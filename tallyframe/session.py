@@ -35,21 +35,25 @@ def setting(spark: SparkSession, key: tuple[str, int]) -> int:
     return int(spark.conf.get(key[0], str(key[1])))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session, where driver and
-    executors share one disk, gets a folder of its own when none is set.
+    Only a local session, whose one process has one disk, gets a folder of its own when none is set.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not sc.master.startswith("local"):
+            if not (sc.master == "local" or sc.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
             folder = tempfile.mkdtemp(prefix="tallyframe-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in the shared folder and drop its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

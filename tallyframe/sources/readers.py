@@ -10,6 +10,7 @@ from tallyframe.functions.names import col, cols, is_text, require
 from tallyframe.operators.clean import nan_to_null
 from tallyframe.operators.profile import profile
 from tallyframe.operators.unions import union_all_columns
+from tallyframe.sources.records import has_line_breaks, parse, records, split_parities
 
 FORMATS = ("csv", "json", "parquet", "orc")
 # Cell texts that mean "missing".
@@ -30,12 +31,13 @@ def read_table(
     schema: str | T.StructType | None = None,
     columns: list[str] | None = None,
     null_tokens: tuple[str, ...] | None = None,
-    line_breaks: bool = False,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Read one table. A given ``schema`` spares the inference pass; ``columns`` prune the scan.
 
-    In csv a doubled quote inside quotes is a quote. ``line_breaks`` allows line breaks inside quotes; each file is then
-    read by one task.
+    In csv a doubled quote inside quotes is a quote, and line breaks may stand inside quotes. Quotes are counted split by
+    split first; only files in which a quoted cell does hold a line break are then cut into records, still in splits. A
+    quote that is open at the end of a file raises. ``line_breaks=False`` spares the count: every line is a record.
     """
     fmt = format_of(path, fmt)
     reader = spark.read
@@ -43,10 +45,15 @@ def read_table(
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", schema is None)
-        reader = reader.option("quote", '"').option("escape", '"').option("multiLine", line_breaks)
+        reader = reader.option("quote", '"').option("escape", '"')
         if null_tokens:
             reader = reader.option("nullValue", null_tokens[0])
-    df = reader.format(fmt).load(path)
+    parities = split_parities(spark, path) if fmt == "csv" and line_breaks else None
+    if parities is not None and has_line_breaks(parities):
+        names = None if schema is None else (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)).names
+        df = parse(reader, records(spark, path, parities), names)
+    else:
+        df = reader.format(fmt).load(path)
     if columns is not None:
         require(df, columns)
         df = df.select(*cols(columns))

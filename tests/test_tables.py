@@ -91,7 +91,7 @@ def test_pivot(gaps, rows):
     given = grouping.pivot(gaps, "row", "head", [{"column": "v", "aggregation": "sum"}], headers=["h2"])
     assert given.columns == ["row", "v|h2"]
     numbers = grouping.pivot(gaps.withColumn("n", F.col("at") * 5), "row", ["n"], [{"column": "v", "aggregation": "max"}])
-    assert numbers.columns == ["row"] + [f"v|{n}" for n in (5, 10, 15, 20, 25, 30)]  # sorted as numbers
+    assert numbers.columns == ["row"] + [f"v|{n}" for n in (5, 10, 15, 20, 30)]  # sorted as numbers; 25 has no row key
 
 
 def test_pivot_width_is_checked(gaps, limits):
