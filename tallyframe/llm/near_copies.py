@@ -16,8 +16,7 @@ from tallyframe.llm.words import mix, pick, steps, text_list, weighted_shingles
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 48, 8
 # Pairs whose signatures agree in fewer registers than the least similarity less this many standard errors are not verified.
-# For the last pairs, whose nearest partners have failed by then, it is a smaller number: one in 700 at 0.8, fewer above.
-_ERRORS, _LAST_ERRORS = 5, 3
+_ERRORS = 5
 # Signatures of a block that are compared with another block.
 BLOCK = 256
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -202,11 +201,11 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     links = compare(star)
     root = components(links)
     # Then, across components, the nearest texts of a bucket, and last every pair of what is still apart.
-    for errors, nearest in ((_ERRORS, True), (_LAST_ERRORS, False)):
+    for nearest in (True, False):
         apart = member.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
         apart = keep(apart.join(mixed, "key", "left_semi"))
-        more = keep(verified(keep(crossing(apart, signatures, bands * rows, similarity, errors, nearest).distinct()), texts, words, similarity))
+        more = keep(verified(keep(crossing(apart, signatures, bands * rows, similarity, _ERRORS, nearest).distinct()), texts, words, similarity))
         if not more.isEmpty():
             links = keep(links.union(more))
             root = components(links)

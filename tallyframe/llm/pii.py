@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.tables import col
+from tallyframe.llm.tables import through_arrow
 from tallyframe.llm.words import pick, text_list
 
 KINDS = ("email", "ip", "card", "phone")
@@ -305,15 +306,16 @@ def mask_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """The rows of ``docs``, all columns, with personal data in the text replaced by its kind; null texts stay null."""
     field = train(docs, doc_id=doc_id, text=text, **training)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = text_list(b[text])
-            for part in _batches(texts):
-                piece = b.iloc[part].copy()
-                piece[text] = [mask(t, base + added) if isinstance(o, str) else None for o, t, (base, added) in zip(piece[text], texts[part], find(texts[part], field))]
-                yield piece
-
-    names = [f"c{i}" if n != text else text for i, n in enumerate(docs.columns)]
-    plain = docs.select(*[col(n).alias(m) for n, m in zip(docs.columns, names)])
-    out = plain.mapInPandas(run, plain.schema)
-    return out.select(*[col(m).alias(n) for n, m in zip(docs.columns, names)])
+    def masked(place: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                given = b.column(place).to_pylist()
+                texts = ["" if t is None else t for t in given]
+                for part in _batches(texts):
+                    made = [mask(t, base + added) if o is not None else None for o, t, (base, added) in zip(given[part], texts[part], find(texts[part], field))]
+                    piece = b.slice(part.start, part.stop - part.start)
+                    yield piece.set_column(place, b.schema.names[place], pa.array(made, b.schema.field(place).type))
+
+        return run
+
+    return through_arrow(docs, text, masked)

@@ -33,6 +33,14 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def through_arrow(docs: DataFrame, text: str, run) -> DataFrame:
+    """``docs`` through mapInArrow under names of place, ``run(place)`` being the function; columns that it hands on keep
+    every value, and names may differ in case only."""
+    place = docs.columns.index(text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run(place), plain.schema).toDF(*docs.columns)
+
+
 def checked_broadcast(kept: DataFrame, most_rows: int = 500_000) -> DataFrame:
     """A kept table of a few short columns, marked for broadcast if its counted rows are few; else as it is."""
     return F.broadcast(kept) if kept.count() <= most_rows else kept

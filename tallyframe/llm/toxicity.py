@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.automata import Lexicon
-from tallyframe.llm.tables import col
+from tallyframe.llm.tables import through_arrow
 from tallyframe.llm.words import pick, steps, text_list
 
 # Quotation marks that open and close.
@@ -215,12 +216,13 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     """The rows of ``docs``, all columns, whose text is not predicted toxic; scored in place, without a join."""
     scorer = train(docs, labels, doc_id=doc_id, text=text, **training)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield b[scorer.score(scorer.evidence(text_list(b[text]))["evidence"].to_numpy()) < threshold]
+    def clean(place: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    texts = ["" if t is None else t for t in b.column(place).to_pylist()]
+                    yield b.filter(pa.array(scorer.score(scorer.evidence(texts)["evidence"].to_numpy()) < threshold))
+
+        return run
 
-    names = [f"c{i}" if n != text else text for i, n in enumerate(docs.columns)]
-    plain = docs.select(*[col(n).alias(m) for n, m in zip(docs.columns, names)])
-    out = plain.mapInPandas(run, plain.schema)
-    return out.select(*[col(m).alias(n) for n, m in zip(docs.columns, names)])
+    return through_arrow(docs, text, clean)
