@@ -43,6 +43,8 @@ DUPLICATE_WORDS = {
     "immedidately_after": AFTER,
 }
 CUSTOM, CUSTOM_ID = "__Custom__", "Custom-ID"
+# Columns that exist only while two tables are reconciled begin with this.
+HELPER = "__reco:"
 STATUS = "Reco_Status"
 MATCHED, UNMATCHED = "Matched", "Unmatched"
 SIDES = ("left", "right")
@@ -153,17 +155,19 @@ def reconcile(
         needed += [r for r in plan.refs[side] if r != CUSTOM]
         needed += [plan.basis[side]] if plan.basis.get(side) else []
         require(tables[side], needed, f"{side} table")
+    if clash := [c for s in SIDES for c in tables[s].columns if c.startswith(HELPER)]:
+        raise ValueError(f"column names cannot begin with {HELPER!r}: {', '.join(clash)}")
     tables = {s: _prepared(tables[s], s, plan, n) for s, n in zip(SIDES, names)}
     tables = _with_helpers(tables, plan)
-    own = {s: [c for c in tables[s].columns if not c.startswith("__")] for s in SIDES}
+    own = {s: [c for c in tables[s].columns if not c.startswith(HELPER)] for s in SIDES}
 
-    block = [f"__k{i}" for i in range(len(plan.exact))]
+    block = [f"__reco:k{i}" for i in range(len(plan.exact))]
     counted = [tables[s] for s in SIDES if not _unique_keys(s, plan)]
     hot = hot_groups(counted, block) if counted else None
     numbered = {s: _numbered(tables[s], s, plan, block, hot) for s in SIDES}
     if not plan.nearest and not plan.fuzzy:
         joined = {
-            s: _attach(numbered[s], numbered[_other(s)], s, plan, own, block + ["__t"]) for s in SIDES
+            s: _attach(numbered[s], numbered[_other(s)], s, plan, own, block + ["__reco:t"]) for s in SIDES
         }
     else:
         pairs = cut(_fuzzy_pairs(numbered, plan) if plan.fuzzy else _nearest_pairs(numbered, plan))
@@ -171,9 +175,9 @@ def reconcile(
         for s in SIDES:
             o = _other(s)
             # Pairs carry the partner's number; joined to it they have the own key of this side.
-            matched = pairs.select(F.col("g").alias("__g"), F.col(o).alias("__t"), F.col(s).alias("__own"))
-            partner = numbered[o].join(matched, ["__g", "__t"]).drop("__t").withColumnRenamed("__own", "__t")
-            joined[s] = _attach(numbered[s], partner, s, plan, own, ["__g", "__t"])
+            matched = pairs.select(F.col("g").alias("__reco:g"), F.col(o).alias("__reco:t"), F.col(s).alias("__reco:own"))
+            partner = numbered[o].join(matched, ["__reco:g", "__reco:t"]).drop("__reco:t").withColumnRenamed("__reco:own", "__reco:t")
+            joined[s] = _attach(numbered[s], partner, s, plan, own, ["__reco:g", "__reco:t"])
     return joined["left"], joined["right"]
 
 
@@ -204,7 +208,7 @@ def _prepared(df: DataFrame, side: str, plan: Plan, name: str) -> DataFrame:
         ])
         df = sum_by_keys(df, list(dict.fromkeys(k[side] for k in plan.keys)), [v[side] for v in plan.values])
     if CUSTOM in plan.refs[side]:
-        at = free_name(df.columns, "__row")
+        at = free_name(df.columns, "__reco:row")
         df = number_rows(df, _order(df, side, plan), at)
         label = F.concat(F.lit(f"{name}-"), col(at).cast("string"))
         df = df.select(*cols(c for c in df.columns if c not in (at, CUSTOM_ID)), label.alias(CUSTOM_ID))
@@ -238,14 +242,14 @@ def _with_helpers(tables: dict[str, DataFrame], plan: Plan) -> dict[str, DataFra
         plain = _as_is(k) and not any(isinstance(t, T.BooleanType) for t in (ta, tb))
         made = comparable(a, ta, b, tb) if plain else [F.coalesce(_key_text(c, t, k), F.lit("")) for c, t in ((a, ta), (b, tb))]
         for s, e in zip(SIDES, made):
-            extra[s].append(e.alias(f"__k{i}"))
+            extra[s].append(e.alias(f"__reco:k{i}"))
     for i, k in enumerate(plan.fuzzy):
         for s in SIDES:
-            extra[s].append(F.coalesce(_key_text(col(k[s]), field_type(tables[s], k[s]), k), F.lit("")).alias(f"__f{i}"))
+            extra[s].append(F.coalesce(_key_text(col(k[s]), field_type(tables[s], k[s]), k), F.lit("")).alias(f"__reco:f{i}"))
     if plan.nearest:
         for s in SIDES:
             c = plan.basis[s]
-            extra[s].append(_axis(col(c), field_type(tables[s], c)).alias("__x"))
+            extra[s].append(_axis(col(c), field_type(tables[s], c)).alias("__reco:x"))
     return {s: tables[s].select("*", *extra[s]) for s in SIDES}
 
 
@@ -264,14 +268,14 @@ def _unique_keys(side: str, plan: Plan) -> bool:
 
 
 def _numbered(df: DataFrame, side: str, plan: Plan, block: list[str], hot: DataFrame | None) -> DataFrame:
-    plain = [c for c in df.columns if not c.startswith("__")]
+    plain = [c for c in df.columns if not c.startswith(HELPER)]
     order = _pair_order(df.select(*cols(plain)), side, plan)
     if _unique_keys(side, plan):
-        numbered = df.withColumn("__t", F.lit(1).cast("long"))
+        numbered = df.withColumn("__reco:t", F.lit(1).cast("long"))
     else:
-        numbered = number_groups(df, block, order, "__t", hot)
+        numbered = number_groups(df, block, order, "__reco:t", hot)
     if plan.nearest or plan.fuzzy:
-        numbered = numbered.withColumn("__g", group_id(*cols(block)))
+        numbered = numbered.withColumn("__reco:g", group_id(*cols(block)))
     return numbered
 
 
@@ -289,7 +293,7 @@ def _pair_up(placed: DataFrame, others: DataFrame, base: str) -> DataFrame:
 
 def _nearest_pairs(numbered: dict[str, DataFrame], plan: Plan) -> DataFrame:
     base, others = (
-        numbered[s].select(F.col("__g").alias("g"), F.col("__t").alias("t"), F.col("__x").alias("x"))
+        numbered[s].select(F.col("__reco:g").alias("g"), F.col("__reco:t").alias("t"), F.col("__reco:x").alias("x"))
         for s in (plan.base, _other(plan.base))
     )
     kind = field_type(numbered[plan.base], plan.basis[plan.base])
@@ -299,11 +303,11 @@ def _nearest_pairs(numbered: dict[str, DataFrame], plan: Plan) -> DataFrame:
 
 def _fuzzy_pairs(numbered: dict[str, DataFrame], plan: Plan) -> DataFrame:
     n = len(plan.fuzzy)
-    place = F.col("__x") if plan.nearest else F.lit(0.0)
+    place = F.col("__reco:x") if plan.nearest else F.lit(0.0)
 
     def slim(side: str, letter: str) -> DataFrame:
-        texts = [F.col(f"__f{i}").alias(f"{letter}{i}") for i in range(n)]
-        return numbered[side].select(F.col("__g").alias("g"), F.col("__t").alias("t"), place.alias("x"), *texts)
+        texts = [F.col(f"__reco:f{i}").alias(f"{letter}{i}") for i in range(n)]
+        return numbered[side].select(F.col("__reco:g").alias("g"), F.col("__reco:t").alias("t"), place.alias("x"), *texts)
 
     base, others = slim(plan.base, "a"), slim(_other(plan.base), "b")
     large = large_blocks(base, others)
@@ -379,11 +383,11 @@ def _attach(rows: DataFrame, partner: DataFrame, side: str, plan: Plan, own: dic
     """One side's output: own columns, partner columns, status, differences and matches."""
     o = _other(side)
     names = _pulled(side, plan, own)
-    slim = partner.select(*cols(on), *[col(c).alias(f"__p{i}") for i, c in enumerate(names)], F.lit(True).alias("__hit"))
+    slim = partner.select(*cols(on), *[col(c).alias(f"__reco:p{i}") for i, c in enumerate(names)], F.lit(True).alias("__reco:hit"))
     joined = rows.join(slim, on, "left")
-    at = {c: F.col(f"__p{i}") for i, c in enumerate(names)}
+    at = {c: F.col(f"__reco:p{i}") for i, c in enumerate(names)}
     made = [at[c].alias(n) for c, n in names.items()]
-    made.append(F.when(F.col("__hit"), MATCHED).alias(STATUS))
+    made.append(F.when(F.col("__reco:hit"), MATCHED).alias(STATUS))
     for v in {v[side]: v for v in plan.values}.values():
         a = col(v[side]).try_cast("double")
         b = at[v[o]].try_cast("double")
@@ -421,7 +425,7 @@ def block_sizes(left: DataFrame, right: DataFrame, keys: list[dict]) -> DataFram
     """Rows per block of exact keys on both sides, for a look at skew before reconciling."""
     plan = check_spec(keys, [])
     tables = _with_helpers({"left": left, "right": right}, plan)
-    block = [f"__k{i}" for i in range(len(plan.exact))]
+    block = [f"__reco:k{i}" for i in range(len(plan.exact))]
     counts = [tables[s].groupBy(*block).agg(F.count(F.lit(1)).alias(f"{s}_rows")) for s in SIDES]
     joined = counts[0].select(*[F.col(k).alias(f"l{k}") for k in block], "left_rows").join(
         counts[1], all_of(F.col(f"l{k}").eqNullSafe(F.col(k)) for k in block), "full"

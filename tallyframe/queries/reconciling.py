@@ -297,3 +297,46 @@ def _(t):
 )
 def _(t):
     return _rounded(_notes(t, "closest")[0])
+
+
+# Customers and suppliers with blanks in their keys and amounts, which count as 0.
+_BLANKS_SQL = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS rn FROM (
+                   SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_nationkey END AS c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer)),
+            r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS rn FROM (
+                   SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_nationkey END AS s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier))"""
+
+
+def _blank_keys(t, left=None):
+    blank = lambda c, by, n: F.when(F.col(by) % n != 0, F.col(c)).alias(c)
+    people = t.customer.select("c_custkey", blank("c_nationkey", "c_custkey", 10), blank("c_acctbal", "c_custkey", 7))
+    firms = t.supplier.select("s_suppkey", blank("s_nationkey", "s_suppkey", 3), blank("s_acctbal", "s_suppkey", 2))
+    return reconcile(
+        people if left is None else left, firms, [{"left": "c_nationkey", "right": "s_nationkey"}],
+        [{"left": "c_acctbal", "right": "s_acctbal", "threshold_type": "amount", "threshold_value": 1000}],
+        {"method": "one-to-one"}, {"left": ["c_custkey"], "right": ["s_suppkey"]}, ("customers", "suppliers"),
+        {"left": ["c_acctbal", "c_custkey"], "right": ["s_acctbal", "s_suppkey"]},
+    )[0]
+
+
+@query(
+    "reco_blank_keys",
+    f"""{_BLANKS_SQL} SELECT c_custkey, c_nationkey, c_acctbal, s_suppkey, s_acctbal,
+              CASE WHEN r.rn IS NOT NULL THEN 'Matched' END AS "Reco_Status", round(abs(c_acctbal - s_acctbal), 2) AS "c_acctbal-Difference",
+              CASE WHEN abs(c_acctbal - s_acctbal) <= 1000 THEN 'Matched' ELSE 'Unmatched' END AS "c_acctbal-Match"
+       FROM l LEFT JOIN r ON c_nationkey = s_nationkey AND l.rn = r.rn""",
+)
+def _(t):
+    return _rounded(_blank_keys(t))
+
+
+@query(
+    "reco_again",
+    f"""{_BLANKS_SQL} SELECT c_custkey, c_nationkey, c_acctbal, coalesce(s_suppkey, 0) AS s_suppkey, coalesce(s_acctbal, 0) AS s_acctbal,
+              s_suppkey AS "s_suppkey-2", s_acctbal AS "s_acctbal-2",
+              CASE WHEN r.rn IS NOT NULL THEN 'Matched' END AS "Reco_Status", round(abs(c_acctbal - s_acctbal), 2) AS "c_acctbal-Difference",
+              CASE WHEN abs(c_acctbal - s_acctbal) <= 1000 THEN 'Matched' ELSE 'Unmatched' END AS "c_acctbal-Match"
+       FROM l LEFT JOIN r ON c_nationkey = s_nationkey AND l.rn = r.rn""",
+)
+def _(t):
+    """An output that is reconciled with the same table once more: pulled columns of both times stay, under own names."""
+    return _rounded(_blank_keys(t, _blank_keys(t)))

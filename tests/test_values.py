@@ -97,3 +97,14 @@ def test_line_breaks_in_splits(spark, tmp_path, small_splits):
     (tmp_path / "9.csv").write_text('id,no te,v\n1,"open\n')
     with pytest.raises(ValueError, match="still open at the end of"):
         read_table(spark, str(tmp_path), "csv")
+
+
+def test_own_helper_like_names(spark):
+    left = spark.createDataFrame([(1, "x", 5.0, 7), (2, "y", 6.0, 8)], "k long, __tag string, __x double, __t int")
+    right = spark.createDataFrame([(1, 5.0, "p"), (3, 7.0, "q")], "k long, v double, __k0 string")
+    spec = {"keys": [{"left": "k", "right": "k", "criteria": "exact"}], "values": [{"left": "__x", "right": "v"}], "settings": {"method": "one-to-one"}, "cross_reference": {"left": ["__tag"], "right": ["__k0"]}}
+    one, two = reconcile(left, right, **spec)
+    assert one.columns[:4] == left.columns and two.columns[:3] == right.columns
+    assert sorted((r["k"], r["__tag"], r["__t"], r["__k0"]) for r in one.collect()) == [(1, "x", 7, "p"), (2, "y", 8, None)]
+    with pytest.raises(ValueError, match="cannot begin"):
+        reconcile(left.withColumn("__reco:t", F.lit(1)), right, **spec)
