@@ -57,10 +57,14 @@ def page(df: DataFrame, config: list[dict], number: int, per_page: int) -> DataF
     A page near the start is a top-k. A deep page numbers the rows across partitions instead, so no
     task holds all rows before it. All other columns complete the order, so both ways show the same rows.
     """
-    number = clamp_page(number, df.count(), per_page) if number > 1 else 1
+    most = setting(df.sparkSession, PAGE_TAKE_ROWS)
+    if number > 1:
+        # Whether a page near the start exists shows in its first row; the count stops there.
+        reach = (number - 1) * per_page + 1
+        number = clamp_page(number, (df.limit(reach) if reach <= most else df).count(), per_page)
     keys = total_order(df, sort_keys(df, config), [c["column"] for c in config])
-    skip = (number - 1) * per_page
-    if skip + per_page <= setting(df.sparkSession, PAGE_TAKE_ROWS):
+    skip = (max(number, 1) - 1) * per_page
+    if skip + per_page <= most:
         return df.orderBy(*keys).offset(skip).limit(per_page)
     at = free_name(df.columns, "__row")
     rows = number_rows(df, keys, at)
