@@ -187,9 +187,6 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     nodes = rows_of.groupBy("node").agg(F.first("keys").alias("keys"))
     signatures = rows_of.groupBy("node").agg(F.first("low").alias("low"))
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        return keep(verified(keep(likely(pairs, signatures, bands * rows, similarity)), texts, words, similarity))
-
     member = nodes.select("node", F.explode("keys").alias("key"))
     shared = keep(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     member = keep(member.join(shared, "key"))
@@ -198,14 +195,18 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     company = member.groupBy("node").agg(F.sum("n").alias("company"))
     first = member.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node"))["node"].alias("a"))
     star = member.join(first, "key").filter(F.col("node") != F.col("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    links = compare(star)
+    done = keep(likely(star, signatures, bands * rows, similarity))
+    links = keep(verified(done, texts, words, similarity))
     root = components(links)
     # Then, across components, the nearest texts of a bucket, and last every pair of what is still apart.
     for nearest in (True, False):
         apart = member.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
         apart = keep(apart.join(mixed, "key", "left_semi"))
-        more = keep(verified(keep(crossing(apart, signatures, bands * rows, similarity, _ERRORS, nearest).distinct()), texts, words, similarity))
+        # A pair that was verified before and failed is not verified again.
+        fresh = keep(crossing(apart, signatures, bands * rows, similarity, _ERRORS, nearest).distinct().join(done, ["a", "b"], "left_anti"))
+        done = keep(done.union(fresh))
+        more = keep(verified(fresh, texts, words, similarity))
         if not more.isEmpty():
             links = keep(links.union(more))
             root = components(links)
