@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.tables import keep
+from tallyframe.llm.tables import drop, keep
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,11 +25,14 @@ def components(links: DataFrame) -> DataFrame:
         move = both.groupBy("a").agg(F.min(rank("b")).alias("best")).select("a", F.least("best", rank("a"))["to"].alias("to"))
         move = keep(move.filter(F.col("to") != F.col("a")))
         at = lambda side: move.select(F.col("a").alias(side), F.col("to").alias(f"{side}_to"))  # noqa: E731, B023
-        edges = keep(
+        merged = keep(
             edges.join(at("a"), "a", "left").join(at("b"), "b", "left")
             .select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
             .filter(F.col("a") != F.col("b"))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         )
-        root = keep(root.join(at("root"), "root", "left").select("node", F.coalesce("root_to", "root").alias("root")))
+        moved = keep(root.join(at("root"), "root", "left").select("node", F.coalesce("root_to", "root").alias("root")))
+        drop(edges, root, move)
+        edges, root = merged, moved
+    drop(edges)
     return root

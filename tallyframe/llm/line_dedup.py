@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components
-from tallyframe.llm.tables import checked_broadcast, col, keep
+from tallyframe.llm.tables import checked_broadcast, col, drop, free_name, keep
 
 EDITS, LEAST_CHARS = 2, 20
 # Texts of a segment group that are compared pair by pair; a larger group is split by segments of what is left of them.
@@ -42,21 +42,22 @@ def _probes(edits: int, lengths: bool) -> list[tuple[int, int, int, int, int]]:
 def _rows(df: DataFrame, group: list[str], role: Column | None, edits: int) -> DataFrame:
     """Rows of (h, rest, ...) times the segments and probes of ``rest``: ``key`` (a hash), ``kind``, ``delta``, ``start``, ``size``.
 
-    Each text is exploded by a constant list of places, so that one short expression makes all keys.
+    Each text is exploded by a constant list of places, so that one short expression makes all keys. Segments are cut from
+    the text at four bytes a character, where a place is found without counting characters.
     """
     names = ("role", "kind", "delta", "i", "shift")
     places = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, p)]) for p in _probes(edits, role is None)])
-    out = df.withColumn("n", F.length("rest")).select("*", F.explode(places).alias("w"))
+    out = df.select("*", F.length("rest").alias("n"), F.encode("rest", "UTF-32").alias("wide")).select("*", F.explode(places).alias("w"))
     if role is not None:
         out = out.filter(role == F.col("w.role"))
     k = edits + 1
     total = F.col("n") - F.col("w.delta")
     low = F.expr(f"CAST((n - w.delta) * w.i div {k} AS INT)")
-    out = out.select(*df.columns, total.alias("total"), F.col("n"), F.col("w.kind").alias("w_kind"), F.col("w.delta").alias("w_delta"), F.col("w.i").alias("i"),
+    out = out.select(*df.columns, "wide", total.alias("total"), F.col("n"), F.col("w.kind").alias("w_kind"), F.col("w.delta").alias("w_delta"), F.col("w.i").alias("i"),
                      (low + F.col("w.shift")).alias("start"), (F.expr(f"CAST((n - w.delta) * (w.i + 1) div {k} AS INT)") - low).alias("size"))
     out = out.filter((F.col("total") >= 0) & (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
-    key = F.xxhash64(*group, "total", "i", F.substring(F.col("rest"), F.col("start") + 1, F.col("size")))
-    return out.select("h", "rest", key.alias("key"), F.col("w_kind").alias("kind"), F.col("w_delta").alias("delta"), "start", "size")
+    key = F.xxhash64(*group, "total", "i", F.substring(F.col("wide"), 4 * F.col("start") + 1, 4 * F.col("size")))
+    return out.select(*df.columns, key.alias("key"), F.col("w_kind").alias("kind"), F.col("w_delta").alias("delta"), "start", "size")
 
 
 def edit_within(a: Column, b: Column, edits: int) -> Column:
@@ -107,7 +108,8 @@ def edit_within(a: Column, b: Column, edits: int) -> Column:
 def lines_of(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
     """Lines of at least ``least_chars`` characters without the blanks around them: row, doc_id, pos, line."""
     src = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("t"))
-    rows = src.select(_row(F.col("doc_id"), F.col("t")).alias("row"), "doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
+    # The name of the row is made once per text, before its lines are.
+    rows = src.select("doc_id", "t", _row(F.col("doc_id"), F.col("t")).alias("row")).select("row", "doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     rows = rows.select("row", "doc_id", "pos", F.btrim(F.col("line"), F.lit(" \t\n\x0b\x0c\r")).alias("line"))
     return rows.filter(F.length("line") >= least_chars)
 
@@ -132,15 +134,20 @@ def _shared(rows: DataFrame) -> tuple[DataFrame, bool]:
     found = keep(found.filter((F.col("low") != F.col("high")) & (F.col("kind") == 0)).select("key"))
     few = found.count() <= _FEW_KEYS
     if few:
-        return keep(rows.select("key", "h", "kind", "rest").join(F.broadcast(found), "key", "left_semi").distinct()), True
-    return keep(rows.select("key", "h", "kind").join(found, "key", "left_semi").distinct()), False
+        out = keep(rows.select("key", "h", "kind", "rest").join(F.broadcast(found), "key", "left_semi").distinct())
+    else:
+        out = keep(rows.select("key", "h", "kind").join(found, "key", "left_semi").distinct())
+    drop(found)
+    return out, few
 
 
 def _without_repeats(rows: DataFrame) -> DataFrame:
     """Rows of one key for each set of texts: a passage of several segments brings the same texts together once."""
     sets = rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bit_xor(F.xxhash64("h", "kind")).alias("mix"), F.count(F.lit(1)).alias("n"))
     one = keep(sets.groupBy("low", "high", "mix", "n").agg(F.min("key").alias("key")).select("key"))
-    return keep(rows.join(checked_broadcast(one), "key", "left_semi"))
+    out = keep(rows.join(checked_broadcast(one), "key", "left_semi"))
+    drop(one)
+    return out
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -156,11 +163,12 @@ def near_lines(lines: DataFrame, edits: int = EDITS, group_texts: int = GROUP_TE
     distance is bounded too. So a group's pairs stay close to the links it has.
     """
     h = F.xxhash64("line").alias("h")
-    rows, whole = _shared(_rows(lines.select(h, F.col("line").alias("rest")), [], None, edits))
-    texts = rows.select("h", F.col("rest").alias("line")).distinct() if whole else lines.select(h, "line").join(rows.select("h").distinct(), "h", "left_semi").distinct()
-    rows = _without_repeats(rows.select("key", "h", "kind").distinct())
+    shared, whole = _shared(_rows(lines.select(h, F.col("line").alias("rest")), [], None, edits))
+    texts = shared.select("h", F.col("rest").alias("line")).distinct() if whole else lines.select(h, "line").join(shared.select("h").distinct(), "h", "left_semi").distinct()
+    rows = _without_repeats(shared.select("key", "h", "kind").distinct())
     # Lines are told apart by their text; h only brings candidates together.
     texts = keep(texts.withColumn("node", F.unhex(F.md5("line"))))
+    drop(shared)
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = (texts.select(F.col("h").alias(s), F.col("line").alias(f"line_{s}"), F.col("node").alias(f"node_{s}")) for s in "ab")
@@ -186,9 +194,10 @@ def near_lines(lines: DataFrame, edits: int = EDITS, group_texts: int = GROUP_TE
     apart = keep(apart.join(mixed, "key").select("key", "h", "kind", "root", "n"))
     pairs = lambda df: _ordered(_cross(df))
     found = [verified(keep(pairs(apart.filter(F.col("n") <= group_texts))))]
-    hot = apart.filter(F.col("n") > group_texts).select("key").distinct()
+    hot = apart.filter(F.col("n") > group_texts)
     if not hot.isEmpty():
-        found.append(verified(keep(_ordered(_split(texts, keep(hot), where, edits, group_texts)))))
+        open_texts = texts.join(hot.select("h", "root").distinct(), "h").select("h", "root", F.col("line").alias("rest"))
+        found.append(verified(keep(_ordered(_split(open_texts, keep(hot.select("key").distinct()), edits, group_texts)))))
     more = found[0] if len(found) == 1 else found[0].union(found[1])
     return components(links.union(more)) if not more.isEmpty() else root
 
@@ -199,32 +208,35 @@ def _cross(rows: DataFrame) -> DataFrame:
     return a.join(rows.select("key", F.col("h").alias("b"), F.col("root").alias("root_b")), "key").filter(F.col("root_a") != F.col("root_b")).select("a", "b")
 
 
-def _split(texts: DataFrame, hot: DataFrame, where: DataFrame, edits: int, group_texts: int) -> DataFrame:
-    """Candidate pairs of groups too large to pair: split by what is left of the texts, again and again.
+def _split(texts: DataFrame, hot: DataFrame, edits: int, group_texts: int) -> DataFrame:
+    """Candidate pairs of groups too large to pair, of texts (h, root, rest): split by what is left of the texts, again and
+    again. The component of a text travels with its rows.
 
     Each level shortens the rests. Once the segmented ones have no more than ``edits`` characters, texts are compared in
     pairs: only so many different ones exist.
     """
-    one = texts.select("h", F.col("line").alias("rest"))
-    level = _rows(one, [], None, edits).join(hot, "key", "left_semi")
+    level, before = _rows(texts, [], None, edits).join(hot, "key", "left_semi"), [hot]
     found = None
     while True:
-        level = keep(level.select("key", "h", "kind", "delta", F.concat(
+        level = keep(level.select("key", "h", "root", "kind", "delta", F.concat(
             F.substring(F.col("rest"), F.lit(1), F.col("start")), F.substring(F.col("rest"), F.col("start") + F.col("size") + 1, F.length("rest"))).alias("rest")).distinct())
-        sizes = level.join(where, "h").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.countDistinct("h").alias("n"), F.max(F.length("rest") - F.col("delta")).alias("chars"), F.min("kind").alias("some"))
+        drop(*before)
+        sizes = level.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.countDistinct("h").alias("n"), F.max(F.length("rest") - F.col("delta")).alias("chars"), F.min("kind").alias("some"))
         sizes = keep(sizes.filter((F.col("low") != F.col("high")) & (F.col("some") == 0)).select("key", ((F.col("n") <= group_texts) | (F.col("chars") <= edits)).alias("small")))
-        pairs = keep(_cross(level.join(sizes.filter("small"), "key", "left_semi").join(where, "h")).distinct())
+        pairs = keep(_cross(level.join(sizes.filter("small"), "key", "left_semi")).distinct())
         found = pairs if found is None else found.union(pairs)
         hot = sizes.filter("NOT small")
         if hot.isEmpty():
+            drop(level, sizes)
             return found
         again = level.join(hot, "key", "left_semi")
+        before = [level, sizes]
         role = F.when(F.col("kind") == 0, 0).otherwise(1 + F.col("delta"))
-        level = _rows(again.select("h", "rest", F.col("key").alias("above"), role.alias("as_role")), ["above"], F.col("as_role"), edits)
+        level = _rows(again.select("h", "root", "rest", F.col("key").alias("above"), role.alias("as_role")), ["above"], F.col("as_role"), edits)
 
 
-def _short_roots(lines: DataFrame, root: DataFrame, edits: int, least_chars: int, group_texts: int) -> DataFrame:
-    """``root`` of the long lines, joined with the links of shorter ones.
+def _short_roots(short: DataFrame, root: DataFrame, edits: int, least_chars: int, group_texts: int) -> DataFrame:
+    """``root`` of the long lines, joined with the links of shorter ones; ``short`` holds the lines below ``least_chars`` + ``edits`` characters.
 
     ``least_chars`` characters of the shorter line allow ``edits`` edits, shorter lines proportionally fewer. Lines that
     allow none are only compared whole.
@@ -232,7 +244,7 @@ def _short_roots(lines: DataFrame, root: DataFrame, edits: int, least_chars: int
     found = root
     if edits > 1:
         chars = F.length("line")
-        few = keep(lines.filter((chars * edits >= least_chars) & (chars < least_chars + edits)).select("line").distinct())
+        few = keep(short.filter(chars * edits >= least_chars).select("line").distinct())
         for e in range(edits - 1, 0, -1):
             low, high = -(-least_chars * e // edits), -(-least_chars * (e + 1) // edits) - 1
             found = found.unionByName(near_lines(few.filter(chars.between(low, high + e)), e, group_texts))
@@ -242,11 +254,11 @@ def _short_roots(lines: DataFrame, root: DataFrame, edits: int, least_chars: int
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS, group_texts: int = GROUP_TEXTS, short_lines: bool = False) -> DataFrame:
     """(row, removed): positions, from 0, of the lines of a row that repeat an earlier line; only rows that have some."""
     lines = lines_of(docs, doc_id, text, 1 if short_lines else least_chars)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row", "pos")
+    seen = keep(lines.select(F.unhex(F.md5("line")).alias("node"), place.alias("place"), F.when(F.length("line") < least_chars + edits, F.col("line")).alias("line")))
     root = near_lines(lines.filter(F.length("line") >= least_chars).select("line"), edits, group_texts)
     if short_lines:
-        root = _short_roots(lines, root, edits, least_chars, group_texts)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row", "pos")
-    seen = keep(lines.select(F.unhex(F.md5("line")).alias("node"), place.alias("place")))
+        root = _short_roots(seen.select("line").filter("line IS NOT NULL"), root, edits, least_chars, group_texts)
     nodes = keep(seen.groupBy("node").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).join(root, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root")))
     classes = nodes.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
     of = keep(nodes.select("node", "root").join(classes, "root").select("node", "first"))
@@ -262,11 +274,14 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Shorter lines stay, unless ``short_lines`` is set: then every line with a word is compared, those whose shorter one
     has 10 to 19 characters within one edit, those below 10 as a whole. Edits are counted in code points. A null text stays null, with no lines; an empty text has one
     empty line. Rows that repeat id and text keep the same lines. An empty table gives no rows.
+    Where ``docs`` has a column of one of these two names, that count gets an underscore appended; both are the last columns.
     """
     cut = keep(removed_lines(docs, doc_id=doc_id, text=text, **options))
     sizes = cut.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("lines")).first()
     if sizes["rows"] <= _FEW_ROWS and sizes["lines"] <= 10 * _FEW_ROWS:
         cut = F.broadcast(cut)
+    n_lines = free_name("n_lines", docs.columns)
+    n_removed = free_name("n_removed", docs.columns)
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.select(*[col(n).alias(m) for n, m in zip(docs.columns, names)], _row(col(doc_id), F.coalesce(col(text), F.lit(""))).alias("row"))
     at = F.col(names[docs.columns.index(text)])
@@ -276,6 +291,6 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     out = plain.join(cut, "row", "left")
     return out.select(
         *[(new if n == text else F.col(m)).alias(n) for n, m in zip(docs.columns, names)],
-        F.when(at.isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(at.isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long").alias(n_lines),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias(n_removed),
     )

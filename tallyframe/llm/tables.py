@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Where the frames that ``keep`` returned are written.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where a local session has none."""
@@ -26,7 +30,27 @@ def keep(df: DataFrame) -> DataFrame:
     """``df`` written once as a table of the shared folder and read from there: lineage ends, only used columns are read."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[kept] = path
+    return kept
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes kept tables that later kept tables have superseded; nothing that is still to run may read them."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores appended until no column has it; case does not tell columns apart."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def col(name: str):
