@@ -9,7 +9,7 @@ from tallyframe.llm.line_dedup import dedup_lines
 from tallyframe.llm.near_copies import drop_near_copies
 from tallyframe.llm.packing import pack
 from tallyframe.llm.pii import mask_personal_data
-from tallyframe.llm.tables import keep
+from tallyframe.llm.tables import col, keep
 from tallyframe.llm.toxicity import drop_toxic
 
 
@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document has; one that has lost all its words goes."""
     out = dedup_lines(docs, short_lines=True)
-    gone = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    gone = (col(out.columns[-1]) > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     return _sized(out.filter(~gone).select(*docs.columns))
 
 
