@@ -285,12 +285,14 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.select(*[col(n).alias(m) for n, m in zip(docs.columns, names)], _row(col(doc_id), F.coalesce(col(text), F.lit(""))).alias("row"))
     at = F.col(names[docs.columns.index(text)])
-    all_lines = F.split(at, "\n")
-    stays = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("removed"))
-    new = F.when(F.col("removed").isNull(), at).otherwise(F.array_join(F.transform(stays, lambda i: F.get(all_lines, i)), "\n"))
+    places = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed"))
+    # The lines of a text are made once, as the only element of an array, and only where some go.
+    left = F.transform(F.array(F.split(at, "\n")), lambda x: F.array_join(F.transform(places(x), lambda i: F.get(x, i)), "\n"))[0]
+    new = F.when(F.col("removed").isNull(), at).otherwise(left)
+    breaks = F.octet_length(at) - F.octet_length(F.replace(at, F.lit("\n"), F.lit("")))
     out = plain.join(cut, "row", "left")
     return out.select(
         *[(new if n == text else F.col(m)).alias(n) for n, m in zip(docs.columns, names)],
-        F.when(at.isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long").alias(n_lines),
+        F.when(at.isNull(), F.lit(0)).otherwise(breaks + 1).cast("long").alias(n_lines),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias(n_removed),
     )
