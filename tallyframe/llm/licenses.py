@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tallyframe.llm.words import mix, pick, placed_hashes, steps, text_list
+from tallyframe.llm.words import map_with_ids, mix, pick, placed_hashes, steps, text_list
 
 # Notices to look for, by the identifier of the licence.
 TEMPLATES = {
@@ -128,7 +128,6 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     templates describe is reported for each.
     """
     known = Templates(templates or TEMPLATES, containment)
-    kind = dict(pick(docs, doc_id=doc_id).dtypes)["doc_id"]
 
     def scan(texts: list[str]) -> list[list[tuple[int, int, str]]]:
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -159,4 +158,4 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                     "licenses": [",".join(sorted({n for _, _, n in x})) for x in found],
                 })
 
-    return pick(docs, doc_id=doc_id, t=text).mapInPandas(run, f"doc_id {kind}, n_notices long, spans string, licenses string")
+    return map_with_ids(pick(docs, doc_id=doc_id, t=text), run, "n_notices long, spans string, licenses string")

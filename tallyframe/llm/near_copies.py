@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components
 from tallyframe.llm.tables import checked_broadcast, col, keep
-from tallyframe.llm.words import mix, pick, steps, text_list, weighted_shingles
+from tallyframe.llm.words import map_with_ids, mix, pick, steps, text_list, weighted_shingles
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 48, 8
@@ -84,7 +84,6 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 def sketches(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int, words: int) -> DataFrame:
     """doc_id, ``node`` (md5 of the text), ``keys`` (band keys; none for a text without words), ``low`` (a byte per register)."""
-    kind = dict(pick(docs, doc_id=doc_id).dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,7 +97,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int, wor
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[part], "node": b["node"].to_numpy()[part], "keys": [k if f else k[:0] for k, f in zip(keys, found)], "low": [x.tobytes() for x in low]})
 
     src = pick(docs, doc_id=doc_id, t=text).select("doc_id", F.coalesce("t", F.lit("")).alias("t"))
-    return src.withColumn("node", F.unhex(F.md5("t"))).mapInPandas(run, f"doc_id {kind}, node binary, keys array<long>, low binary")
+    return map_with_ids(src.withColumn("node", F.unhex(F.md5("t"))), run, "node binary, keys array<long>, low binary")
 
 
 def likely(pairs: DataFrame, signatures: DataFrame, registers: int, similarity: float) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.words import Words, pick, steps, text_list
+from tallyframe.llm.words import Words, map_with_ids, pick, steps, text_list
 from tallyframe.session import cut
 
 # Characters that count as symbols.
@@ -86,8 +86,7 @@ def statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
 
     src = pick(docs, doc_id=doc_id, t=text, lang=lang, source=source)
     src = src.select("doc_id", "t", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")])
-    kind = dict(src.dtypes)["doc_id"]
-    return src.mapInPandas(run, f"doc_id {kind}, lang string, source string, {_BASE}, v array<double>")
+    return map_with_ids(src, run, f"lang string, source string, {_BASE}, v array<double>")
 
 
 def _grouped(rows: DataFrame, least: int) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tallyframe.llm.words import mix, pick, steps, text_list
+from tallyframe.llm.words import map_with_ids, mix, pick, steps, text_list
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -239,7 +239,6 @@ def encode_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     gives no rows. The pieces of the model (a bounded table) travel with the plan.
     """
     pieces = Pieces.load(model)
-    kind = dict(pick(docs, doc_id=doc_id).dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
@@ -259,4 +258,4 @@ def encode_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                 yield pd.DataFrame(out)
 
     more = ", ids array<int>" if with_ids else ""
-    return pick(docs, doc_id=doc_id, t=text).mapInPandas(run, f"doc_id {kind}, n_pieces long, score double, losses array<double>, changes array<string>, ids_sha256 string, decoded boolean{more}")
+    return map_with_ids(pick(docs, doc_id=doc_id, t=text), run, f"n_pieces long, score double, losses array<double>, changes array<string>, ids_sha256 string, decoded boolean{more}")

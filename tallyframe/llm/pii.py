@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.tables import through_arrow
-from tallyframe.llm.words import pick, text_list
+from tallyframe.llm.words import map_with_ids, pick, text_list
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, by kind.
@@ -273,7 +273,6 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     empty labelled table a field that adds nothing.
     """
     field = field or train(docs, doc_id=doc_id, text=text, **training)
-    kind = dict(pick(docs, doc_id=doc_id).dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -289,7 +288,7 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                 yield pd.DataFrame(out)
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return pick(docs, doc_id=doc_id, t=text).mapInPandas(run, f"doc_id {kind}, {counts}, base_sha256 string, spans string, n_added long")
+    return map_with_ids(pick(docs, doc_id=doc_id, t=text), run, f"{counts}, base_sha256 string, spans string, n_added long")
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:

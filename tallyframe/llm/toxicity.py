@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.automata import Lexicon
 from tallyframe.llm.tables import through_arrow
-from tallyframe.llm.words import pick, steps, text_list
+from tallyframe.llm.words import map_with_ids, pick, steps, text_list
 
 # Quotation marks that open and close.
 OPENING, CLOSING = '"“„«‹‘`', '"”“»›’`'
@@ -199,7 +199,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     document enter its score.
     """
     scorer = scorer or train(docs, labels, doc_id=doc_id, text=text, **training)
-    kind = dict(pick(docs, doc_id=doc_id).dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -208,7 +207,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
                 s = scorer.score(e["evidence"].to_numpy())
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "score": s, "predicted": (s >= threshold).astype("int32"), "n_terms": e["n_terms"].astype("int64").to_numpy(), "n_misspelled": e["n_misspelled"].astype("int64").to_numpy(), "n_quoted": e["n_quoted"].astype("int64").to_numpy()})
 
-    out = pick(docs, doc_id=doc_id, t=text).mapInPandas(run, f"doc_id {kind}, score double, predicted int, n_terms long, n_misspelled long, n_quoted long")
+    out = map_with_ids(pick(docs, doc_id=doc_id, t=text), run, "score double, predicted int, n_terms long, n_misspelled long, n_quoted long")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_terms", "n_misspelled", "n_quoted")
 
 

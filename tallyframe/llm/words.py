@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # Characters that a numpy step takes at once; one longer text makes a step of its own.
 STEP_CHARS = 2_000_000
+STEP_TEXTS = 65_536
 
 
 def free(df_names: list[str], name: str) -> str:
@@ -30,11 +31,23 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(n) for n, c in columns.items()])
 
 
+def map_with_ids(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df`` through mapInPandas, with ``doc_id`` beside the columns of ``schema``.
+
+    Whole-number ids pass pandas as texts, which keep all digits where the ids beside them are null.
+    """
+    kind = dict(df.dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        return df.mapInPandas(run, f"doc_id {kind}, {schema}")
+    out = df.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, f"doc_id string, {schema}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def steps(texts: list[str], limit: int = STEP_CHARS) -> Iterator[slice]:
-    """Slices of ``texts`` of about ``limit`` characters."""
+    """Slices of ``texts`` of about ``limit`` characters, and of no more texts than 16 bits can number."""
     low = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        if size and size + len(t) > limit or i - low >= STEP_TEXTS:
             yield slice(low, i)
             low, size = i, 0
         size += len(t)
