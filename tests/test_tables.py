@@ -38,6 +38,20 @@ def test_summary_adds_up_to_the_rows(left, right, method):
     assert sum(counts.values()) == joins.merge(left, right, PAIR, method).count()
 
 
+@pytest.mark.parametrize("method", ["inner", "left", "right", "outer"])
+def test_a_crowded_key_is_dealt_to_many_tasks(spark, limits, rows, method):
+    """Copies of one row too, and keys whose longer side is the right one."""
+    many = spark.createDataFrame([(None, "n")] * 40 + [(1, f"a{i}") for i in range(3)] + [(2, "b"), (5, "c")], "k int, v string")
+    other = spark.createDataFrame([(None, "x"), (None, "x"), (2, "y"), (4, "z")] + [(1, f"w{i}") for i in range(30)], "k int, v string")
+    for a, b in [(many, other), (other, many)]:
+        whole = rows(joins.merge(a, b, PAIR, method))
+        with limits(mergePairs=10):
+            dealt = joins.merge(a, b, PAIR, method)
+            assert rows(dealt) == whole
+            made = dealt.filter("k IS NULL").groupBy(F.spark_partition_id()).count().collect()
+        assert len(made) > 1 and max(r["count"] for r in made) < 80
+
+
 def test_different_key_names_both_stay(left, spark):
     other = spark.createDataFrame([("1", 5)], "key string, n int")
     merged = joins.merge(left, other, [{"left": "k", "right": "key"}], "inner")
