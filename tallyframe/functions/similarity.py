@@ -28,20 +28,21 @@ class TextSet:
     """Texts as code point arrays, with their lengths and binned character counts."""
 
     def __init__(self, texts: np.ndarray):
-        self.codes = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
-        self.lengths = np.array([len(c) for c in self.codes], dtype=np.int64)
-        joined = np.concatenate(self.codes) if len(self.codes) else np.zeros(0, dtype=np.uint32)
-        owner = np.repeat(np.arange(len(self.codes)), self.lengths)
-        flat = np.bincount(owner * _BINS + (joined % _BINS).astype(np.int64), minlength=len(self.codes) * _BINS)
+        texts = [t or "" for t in texts]
+        # One array of all code points; a text is a slice of it.
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        self.lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        owner = np.repeat(np.arange(len(texts)), self.lengths)
+        flat = np.bincount(owner * _BINS + (self.codes % _BINS).astype(np.int64), minlength=len(texts) * _BINS)
         self.bins = flat.reshape(-1, _BINS).astype(np.uint32)
-        self.head = self.grid(np.arange(len(self.codes)), PREFIX_LENGTH, 0)
+        self.head = self.grid(np.arange(len(texts)), PREFIX_LENGTH, 0)
 
     def grid(self, pick: np.ndarray, width: int, pad: int) -> np.ndarray:
         """Codes of the picked texts, one row each, padded to ``width``."""
         made = np.full((len(pick), width), pad, dtype=np.uint32)
-        for row, at in enumerate(pick.tolist()):
-            code = self.codes[at][:width]
-            made[row, : len(code)] = code
+        inside = np.arange(width) < self.lengths[pick][:, None]
+        made[inside] = self.codes[(self.starts[pick][:, None] + np.arange(width))[inside]]
         return made
 
 

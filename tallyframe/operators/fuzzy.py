@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.batches import sorted_groups
+from tallyframe.functions.batches import whole_groups
 from tallyframe.functions.names import all_of, col, cols, join_keys, require, shared_groups
 from tallyframe.functions.similarity import (
     MATCH_SCORE,
@@ -98,71 +98,51 @@ def _sides(l: DataFrame, r: DataFrame, texts: int, extra: list[str]) -> DataFram
     return spread(l.unionByName(r), "g").sortWithinPartitions("g", "side", *[e for e in extra if e == "t"])
 
 
-class _Block:
-    """One block's two sides and, once scored, its pairs at the threshold."""
-
-    def __init__(self, arrays: dict[str, np.ndarray], texts: int):
-        first = int(np.searchsorted(arrays["side"], 1))
-        self.g = arrays["g"][0]
-        self.left = {c: v[:first] for c, v in arrays.items()}
-        self.right = {c: v[first:] for c, v in arrays.items()}
-        self.n, self.m = first, len(arrays["side"]) - first
-        self.chars = sum(len(v) for k in range(texts) for v in arrays[f"v{k}"])
-        self.i = self.j = np.zeros(0, dtype=np.int64)
-        self.score = np.zeros(0)
-
-    def texts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.left[f"v{k}"][self.i], self.right[f"v{k}"][self.j]
-
-
-def _score(blocks: list[_Block], texts: int, threshold: float) -> None:
-    """Score all pairs of the blocks, first text first; later texts only where the earlier ones hold."""
-    left_at = np.cumsum([0] + [b.n for b in blocks])
-    right_at = np.cumsum([0] + [b.m for b in blocks])
-    i = np.concatenate([np.repeat(np.arange(b.n), b.m) + at for b, at in zip(blocks, left_at)])
-    j = np.concatenate([np.tile(np.arange(b.m), b.n) + at for b, at in zip(blocks, right_at)])
-    scores = np.zeros(0)
-    for k in range(texts):
-        left = TextSet(np.concatenate([b.left[f"v{k}"] for b in blocks]))
-        right = TextSet(np.concatenate([b.right[f"v{k}"] for b in blocks]))
-        own, keep = score_pairs(left, right, i, j, threshold)
-        i, j = i[keep], j[keep]
-        scores = own if k == 0 else scores[keep]
-    bounds = np.searchsorted(i, left_at)  # i rises with the blocks
-    for at, b in enumerate(blocks):
-        low, high = bounds[at], bounds[at + 1]
-        b.i, b.j, b.score = i[low:high] - left_at[at], j[low:high] - right_at[at], scores[low:high]
-
-
-def _scored_blocks(batches: Iterator[pd.DataFrame], texts: int, threshold: float) -> Iterator[list[_Block]]:
-    """Blocks with their scored pairs; small blocks are scored together."""
-    waiting: list[_Block] = []
-    size = chars = 0
-    for arrays in sorted_groups(batches, ["g"]):
-        block = _Block(arrays, texts)
-        if not block.n or not block.m:
-            continue
-        waiting.append(block)
-        size, chars = size + block.n * block.m, chars + block.chars
-        if size >= _BATCH_PAIRS or chars >= _BATCH_CHARS:
-            _score(waiting, texts, threshold)
-            yield waiting
-            waiting, size, chars = [], 0, 0
-    if waiting:
-        _score(waiting, texts, threshold)
-        yield waiting
+class _Blocks:
+    """Whole blocks side by side: rows of both sides, and the scored pairs (i, j) of rows that share a block."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], starts: np.ndarray, texts: int, threshold: float):
+        right = arrays["side"] == 1
+        self.left = {c: v[~right] for c, v in arrays.items()}
+        self.right = {c: v[right] for c, v in arrays.items()}
+        m = np.add.reduceat(right.astype(np.int64), starts)
+        rows = np.diff(np.append(starts, len(right)))
+        # Every left row meets the m right rows of its block, which begin at one place.
+        own, first = np.repeat(m, rows - m), np.repeat(np.cumsum(m) - m, rows - m)
+        i = np.repeat(np.arange(len(own)), own)
+        j = np.arange(len(i)) + np.repeat(first - (np.cumsum(own) - own), own)
+        scores = np.zeros(0)
+        for k in range(texts):
+            found, keep = score_pairs(TextSet(self.left[f"v{k}"]), TextSet(self.right[f"v{k}"]), i, j, threshold)
+            i, j = i[keep], j[keep]
+            scores = found if k == 0 else scores[keep]
+        self.i, self.j, self.score = i, j, scores
+
+
+def _scored_blocks(batches: Iterator[pd.DataFrame], texts: int, threshold: float) -> Iterator[_Blocks]:
+    """Blocks of a sorted stream with their scored pairs, first text first; small blocks are scored together."""
+    for arrays in whole_groups(batches, "g"):
+        starts = np.flatnonzero(np.append(True, arrays["g"][1:] != arrays["g"][:-1]))
+        right = np.add.reduceat((arrays["side"] == 1).astype(np.int64), starts)
+        size = np.cumsum((np.diff(np.append(starts, len(arrays["g"]))) - right) * right)
+        chars = np.cumsum(np.add.reduceat(sum(np.fromiter(map(len, arrays[f"v{k}"]), np.int64, len(arrays["g"])) for k in range(texts)), starts))
+        at = 0
+        while at < len(starts):
+            done = (size[at - 1], chars[at - 1]) if at else (0, 0)
+            stop = min(np.searchsorted(size, done[0] + _BATCH_PAIRS, "right"), np.searchsorted(chars, done[1] + _BATCH_CHARS, "right"))
+            stop = max(at + 1, int(stop))
+            part = slice(starts[at], starts[stop] if stop < len(starts) else None)
+            yield _Blocks({c: v[part] for c, v in arrays.items()}, starts[at:stop] - starts[at], texts, threshold)
+            at = stop
 
 
 def _score_blocks(l: DataFrame, r: DataFrame, texts: int, threshold: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for blocks in _scored_blocks(batches, texts, threshold):
-            found = {"g": np.concatenate([np.full(len(b.i), b.g, dtype=object) for b in blocks])}
+        for b in _scored_blocks(batches, texts, threshold):
+            found = {"g": b.left["g"][b.i]}
             for k in range(texts):
-                pairs = [b.texts(k) for b in blocks]
-                found[f"a{k}"] = np.concatenate([p[0] for p in pairs])
-                found[f"b{k}"] = np.concatenate([p[1] for p in pairs])
-            found["s0"] = np.concatenate([b.score for b in blocks])
-            yield pd.DataFrame(found)
+                found |= {f"a{k}": b.left[f"v{k}"][b.i], f"b{k}": b.right[f"v{k}"][b.j]}
+            yield pd.DataFrame(found | {"s0": b.score})
 
     names = ", ".join(f"a{k} string, b{k} string" for k in range(texts))
     scored = _sides(l, r, texts, []).mapInPandas(run, f"g string, {names}, s0 double")
@@ -176,26 +156,27 @@ def pair_blocks(base: DataFrame, others: DataFrame, texts: int, threshold: float
     distance, smaller x and t. ``low``/``high``: partners may lie at or below / at or above the base x.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for blocks in _scored_blocks(batches, texts, threshold):
-            for b in blocks:
-                bx, ox = b.left["x"][b.i], b.right["x"][b.j]
-                fits = ~np.isnan(bx) & ~np.isnan(ox)
-                if not low:
-                    fits &= ox >= bx
-                if not high:
-                    fits &= ox <= bx
-                i, j, score = b.i[fits], b.j[fits], b.score[fits]
-                ranks = [np.unique(b.right[f"v{k}"], return_inverse=True)[1][j] for k in range(texts)]
-                gap = np.abs(bx[fits] - ox[fits])
-                order = np.lexsort((b.right["t"][j], ox[fits], gap, *reversed(ranks), -score, i))
-                free_i, free_j, found = [True] * b.n, [True] * b.m, []
-                for p, q in zip(i[order].tolist(), j[order].tolist()):
-                    if free_i[p] and free_j[q]:
-                        free_i[p] = free_j[q] = False
-                        found.append((p, q))
-                if found:
-                    at = np.array(found)
-                    yield pd.DataFrame({"g": b.g, "t": b.left["t"][at[:, 0]], "ot": b.right["t"][at[:, 1]]})
+        for b in _scored_blocks(batches, texts, threshold):
+            bx, ox = b.left["x"][b.i], b.right["x"][b.j]
+            fits = ~np.isnan(bx) & ~np.isnan(ox)
+            if not low:
+                fits &= ox >= bx
+            if not high:
+                fits &= ox <= bx
+            i, j, score = b.i[fits], b.j[fits], b.score[fits]
+            ranks = [np.unique(b.right[f"v{k}"], return_inverse=True)[1][j] for k in range(texts)]
+            gap = np.abs(bx[fits] - ox[fits])
+            # Left rows are numbered through the blocks, so the blocks stay in order and apart.
+            order = np.lexsort((b.right["t"][j], ox[fits], gap, *reversed(ranks), -score, i))
+            free_i, free_j = [True] * len(b.left["g"]), [True] * len(b.right["g"])
+            found_i, found_j = [], []
+            for p, q in zip(i[order].tolist(), j[order].tolist()):
+                if free_i[p] and free_j[q]:
+                    free_i[p] = free_j[q] = False
+                    found_i.append(p)
+                    found_j.append(q)
+            if found_i:
+                yield pd.DataFrame({"g": b.left["g"][found_i], "t": b.left["t"][found_i], "ot": b.right["t"][found_j]})
 
     return _sides(base, others, texts, ["t", "x"]).mapInPandas(run, "g string, t long, ot long")
 

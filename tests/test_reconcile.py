@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.similarity import TextSet, jaro_winkler_scores, score_pairs, signatures
 from tallyframe.operators import fuzzy, nearest
-from tallyframe.operators.fuzzy import fuzzy_join, scored_texts
+from tallyframe.operators.fuzzy import _scored_blocks, fuzzy_join, scored_texts
 from tallyframe.operators.reconcile import block_sizes, check_spec, reconcile, statistics
 
 KEY = [{"left": "k", "right": "k"}]
@@ -325,3 +326,17 @@ def test_one_sided_groups_reach_no_task(spark, monkeypatch, duplicate):
         got = sorted(pairs_of(out))
     assert got == [(900, 901)]
     assert dealt and [df.count() for df in dealt] == [2] * len(dealt)
+
+
+def test_small_blocks_are_scored_together_however_batches_are_cut():
+    """Many blocks give one set of pairs, not one each; blocks over batch ends, one-sided ones and empty texts too."""
+    rng = random.Random(3)
+    rows = [(f"{g:04}", side, "".join(rng.choice("abc") for _ in range(rng.randrange(8)))) for g in range(400) for side in (0, 1) for _ in range(rng.randrange(4))]
+    table = pd.DataFrame(rows, columns=["g", "side", "v0"])
+    score = lambda a, b: jaro_winkler_scores(np.array([a], dtype=object), np.array([b], dtype=object))
+    wanted = sorted((g, a, b) for g, s, a in rows for h, t, b in rows if g == h and (s, t) == (0, 1) and len(score(a, b)) and score(a, b)[0] >= 0.85)
+    for size in (1, 7, len(rows)):
+        sets = list(_scored_blocks(iter([table[at : at + size] for at in range(0, len(rows), size)]), 1, 0.85))
+        found = [x for s in sets for x in zip(s.left["g"][s.i], s.left["v0"][s.i], s.right["v0"][s.j])]
+        assert sorted(found) == wanted
+    assert len(sets) == 2 and wanted
