@@ -119,7 +119,8 @@ def crossing(apart: DataFrame, signatures: DataFrame, registers: int, similarity
 
     In each bucket, texts outside its largest component meet all texts of the bucket, a block of signatures against a
     block, so a large bucket is spread over many small matrix comparisons and no pair is a row before it is likely.
-    With ``nearest``, only the most similar partner of a text in each block counts.
+    With ``nearest``, only the most similar partner of a text in each block counts. Without, a pair that shares several
+    buckets comes from the bucket of the first band it shares.
     """
     least = similarity - errors * np.sqrt(similarity * (1 - similarity) / registers)
     roots = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -130,15 +131,15 @@ def crossing(apart: DataFrame, signatures: DataFrame, registers: int, similarity
         many = F.ceil(n / BLOCK).cast("long")
         at = F.pmod(F.xxhash64("node"), many).alias(name)
         count = F.ceil(F.col("n") / BLOCK).cast("long").alias("count")
-        return df.select("key", at, count, F.struct("node", "root", "low").alias("x")).groupBy("key", name, "count").agg(F.collect_list("x").alias(f"{name}_rows"))
+        return df.select("key", at, count, F.struct("node", "root", "low", *([] if nearest else ["keys"])).alias("x")).groupBy("key", name, "count").agg(F.collect_list("x").alias(f"{name}_rows"))
 
     few = blocks(rows.filter(F.col("root") != F.col("main")), F.col("n") - F.col("most"), "p")
     few = few.select("key", "p_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("q"))
-    both = few.join(blocks(rows, F.col("n"), "q").select("key", "q", "q_rows"), ["key", "q"]).select("p_rows", "q_rows")
+    both = few.join(blocks(rows, F.col("n"), "q").select("key", "q", "q_rows"), ["key", "q"]).select("key", "p_rows", "q_rows")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for ps, qs in zip(b["p_rows"], b["q_rows"]):
+            for key, ps, qs in zip(b["key"], b["p_rows"], b["q_rows"]):
                 x, y = (np.frombuffer(b"".join(r["low"] for r in side), np.uint8).reshape(len(side), registers) for side in (ps, qs))
                 _, code = np.unique(np.array([r["root"].hex() for r in [*ps, *qs]]), return_inverse=True)
                 i, j = np.nonzero(code[: len(ps), None] != code[None, len(ps) :])
@@ -151,6 +152,12 @@ def crossing(apart: DataFrame, signatures: DataFrame, registers: int, similarity
                     first = np.searchsorted(i, np.arange(len(ps)))
                     first = first[(first < len(i)) & (i[np.minimum(first, len(i) - 1)] == np.arange(len(ps)))]
                     ok &= share == np.repeat(np.maximum.reduceat(share, first), np.diff(np.append(first, len(i))))
+                if not nearest and ok.any():
+                    # Texts in different components meet in every bucket that they share, and one of these is enough.
+                    x_keys, y_keys = (np.array([r["keys"] for r in side], dtype=np.int64) for side in (ps, qs))
+                    for part in np.array_split(np.flatnonzero(ok), 1 + np.count_nonzero(ok) // 20_000):
+                        same = x_keys[i[part]] == y_keys[j[part]]
+                        ok[part] = (x_keys[i[part], same.argmax(axis=1)] == key) | ~same.any(axis=1)
                 found = [sorted((ps[k]["node"], qs[m]["node"])) for k, m in zip(i[ok], j[ok])]
                 if found:
                     yield pd.DataFrame(found, columns=["a", "b"])
@@ -184,7 +191,7 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows_of = keep(sketches(docs, doc_id, text, bands, rows, words))
     texts = pick(docs, t=text).select(F.unhex(F.md5(F.coalesce("t", F.lit("")))).alias("node"), F.coalesce("t", F.lit("")).alias("t"))
     nodes = rows_of.groupBy("node").agg(F.first("keys").alias("keys"))
-    signatures = rows_of.groupBy("node").agg(F.first("low").alias("low"))
+    signatures = rows_of.groupBy("node").agg(F.first("low").alias("low"), F.first("keys").alias("keys"))
 
     member = nodes.select("node", F.explode("keys").alias("key"))
     shared = keep(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))

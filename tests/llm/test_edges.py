@@ -88,3 +88,13 @@ def test_vectors(spark):
     assert got[:2] == [(0, 1, 200, 1024 * 1024 * 10**9 + 512 * 1024 * 10**9), (0, 2, 1, 1024 * 512 + 512 * 512)]
     assert [g[:3] for g in got[2:]] == [(200, 1, 0), (200, 2, 0)]
     assert top_k.top_k(v.filter("1 = 0")).count() == 0
+
+
+def test_a_pair_that_shares_several_buckets_is_one_row(spark):
+    """Texts apart that agree in all bands, or in bands 2 and 3 only, meet once; the pairs are those of all buckets."""
+    low = bytes(range(8))
+    rows = [(bytes([n]), low, keys) for n, keys in [(1, [10, 20, 30]), (2, [10, 20, 30]), (3, [11, 20, 30]), (4, [12, 21, 30])]]
+    signatures = spark.createDataFrame(rows, "node binary, low binary, keys array<long>")
+    apart = signatures.select(F.explode("keys").alias("key"), "node", F.col("node").alias("root"))
+    got = [(bytes(r.a), bytes(r.b)) for r in near_copies.crossing(apart, signatures, 8, 0.8, 5, False).collect()]
+    assert sorted(got) == [(bytes([a]), bytes([b])) for a in range(1, 5) for b in range(a + 1, 5)]
