@@ -11,6 +11,8 @@ from tallyframe.llm.tables import checked_broadcast, col, drop, free_name, keep
 EDITS, LEAST_CHARS = 2, 20
 # Texts of a segment group that are compared pair by pair; a larger group is split by segments of what is left of them.
 GROUP_TEXTS = 64
+# Signatures are compared at a small part of the cost of texts: a group may have so many times more before it is split.
+SIGNATURES = 16
 
 
 def _windows(edits: int, delta: int) -> list[tuple[int, range]]:
@@ -150,6 +152,20 @@ def _without_repeats(rows: DataFrame) -> DataFrame:
     return out
 
 
+def signature(line: Column) -> Column:
+    """64 bits: for each class of characters (code point modulo 64) whether it occurs an odd number of times.
+
+    An edit takes away one character at most and brings one at most, so it flips two bits at most.
+    """
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(63)))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(bit(c)))
+
+
+def _alike(a: Column, b: Column, edits: int) -> Column:
+    """Whether two signatures allow ``edits`` edits; texts within ``edits`` always do."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * edits
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -160,14 +176,15 @@ def near_lines(lines: DataFrame, edits: int = EDITS, group_texts: int = GROUP_TE
     Two texts within ``edits`` agree in one of ``edits`` + 1 segments of the shorter, at a shift that its place and the
     difference of lengths bound. Of a group of texts with the same segment, all are compared with the first; those
     still apart are compared in pairs, or, in a large group, meet again by the segments of their remaining parts, whose
-    distance is bounded too. So a group's pairs stay close to the links it has.
+    distance is bounded too. A pair is a row only if the signatures of its texts allow so few edits, so a group's pairs
+    stay close to the links it has.
     """
     h = F.xxhash64("line").alias("h")
     shared, whole = _shared(_rows(lines.select(h, F.col("line").alias("rest")), [], None, edits))
     texts = shared.select("h", F.col("rest").alias("line")).distinct() if whole else lines.select(h, "line").join(shared.select("h").distinct(), "h", "left_semi").distinct()
     rows = _without_repeats(shared.select("key", "h", "kind").distinct())
     # Lines are told apart by their text; h only brings candidates together.
-    texts = keep(texts.withColumn("node", F.unhex(F.md5("line"))))
+    texts = keep(texts.withColumns({"node": F.unhex(F.md5("line")), "sig": signature(F.col("line"))}))
     drop(shared)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -182,35 +199,39 @@ def near_lines(lines: DataFrame, edits: int = EDITS, group_texts: int = GROUP_TE
     clash = clash.join(texts.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").filter(edit_within(F.col("line_a"), F.col("line"), edits))
     links = clash.select("a", F.col("node").alias("b"))
 
-    first = rows.filter("kind = 0").groupBy("key").agg(F.min("h").alias("a"))
-    links = keep(links.unionByName(verified(_ordered(rows.join(first, "key").filter(F.col("a") != F.col("h")).select("a", F.col("h").alias("b"))))))
+    # Where several texts have one h, each brings a row of its own.
+    rows = keep(rows.join(texts.select("h", "sig"), "h"))
+    first = rows.filter("kind = 0").groupBy("key").agg(F.min(F.struct("h", "sig")).alias("first"))
+    near_first = rows.join(first, "key").filter((F.col("first.h") != F.col("h")) & _alike(F.col("first.sig"), F.col("sig"), edits))
+    links = keep(links.unionByName(verified(_ordered(near_first.select(F.col("first.h").alias("a"), F.col("h").alias("b"))))))
     root = components(links)
-    where = texts.join(root, "node", "left").groupBy("h").agg(F.min(F.coalesce("root", "node")).alias("root"))
-    apart = rows.join(where, "h")
+    where = texts.join(root, "node", "left").select("h", "sig", F.coalesce("root", "node").alias("root"))
+    apart = rows.join(where, ["h", "sig"])
     mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
     mixed = keep(mixed.filter(F.col("low") != F.col("high")).select("key", "n"))
     if mixed.isEmpty():
         return root
-    apart = keep(apart.join(mixed, "key").select("key", "h", "kind", "root", "n"))
-    pairs = lambda df: _ordered(_cross(df))
-    found = [verified(keep(pairs(apart.filter(F.col("n") <= group_texts))))]
-    hot = apart.filter(F.col("n") > group_texts)
+    apart = keep(apart.join(mixed, "key").select("key", "h", "kind", "sig", "root", "n"))
+    most = group_texts * SIGNATURES
+    found = [verified(keep(_ordered(_cross(apart.filter(F.col("n") <= most), edits))))]
+    hot = apart.filter(F.col("n") > most)
     if not hot.isEmpty():
-        open_texts = texts.join(hot.select("h", "root").distinct(), "h").select("h", "root", F.col("line").alias("rest"))
-        found.append(verified(keep(_ordered(_split(open_texts, keep(hot.select("key").distinct()), edits, group_texts)))))
+        open_texts = texts.join(hot.select("h", "sig", "root").distinct(), ["h", "sig"]).select("h", "sig", "root", F.col("line").alias("rest"))
+        found.append(verified(keep(_ordered(_split(open_texts, keep(hot.select("key").distinct()), edits, most)))))
     more = found[0] if len(found) == 1 else found[0].union(found[1])
     return components(links.union(more)) if not more.isEmpty() else root
 
 
-def _cross(rows: DataFrame) -> DataFrame:
-    """Pairs of a segmented and another text of one key that are in different components."""
-    a = rows.filter("kind = 0").select("key", F.col("h").alias("a"), F.col("root").alias("root_a"))
-    return a.join(rows.select("key", F.col("h").alias("b"), F.col("root").alias("root_b")), "key").filter(F.col("root_a") != F.col("root_b")).select("a", "b")
+def _cross(rows: DataFrame, edits: int) -> DataFrame:
+    """Pairs of a segmented and another text of one key that are in different components and whose signatures are alike."""
+    a, b = (rows.select("key", "kind", F.col("h").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
+    both = a.filter("kind = 0").drop("kind").join(b.drop("kind"), "key")
+    return both.filter((F.col("root_a") != F.col("root_b")) & _alike(F.col("sig_a"), F.col("sig_b"), edits)).select("a", "b")
 
 
-def _split(texts: DataFrame, hot: DataFrame, edits: int, group_texts: int) -> DataFrame:
-    """Candidate pairs of groups too large to pair, of texts (h, root, rest): split by what is left of the texts, again and
-    again. The component of a text travels with its rows.
+def _split(texts: DataFrame, hot: DataFrame, edits: int, most: int) -> DataFrame:
+    """Candidate pairs of groups too large to pair, of texts (h, sig, root, rest): split by what is left of the texts, again
+    and again, into groups of at most ``most`` rows. The component of a text and its signature travel with its rows.
 
     Each level shortens the rests. Once the segmented ones have no more than ``edits`` characters, texts are compared in
     pairs: only so many different ones exist.
@@ -218,12 +239,12 @@ def _split(texts: DataFrame, hot: DataFrame, edits: int, group_texts: int) -> Da
     level, before = _rows(texts, [], None, edits).join(hot, "key", "left_semi"), [hot]
     found = None
     while True:
-        level = keep(level.select("key", "h", "root", "kind", "delta", F.concat(
+        level = keep(level.select("key", "h", "sig", "root", "kind", "delta", F.concat(
             F.substring(F.col("rest"), F.lit(1), F.col("start")), F.substring(F.col("rest"), F.col("start") + F.col("size") + 1, F.length("rest"))).alias("rest")).distinct())
         drop(*before)
-        sizes = level.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.countDistinct("h").alias("n"), F.max(F.length("rest") - F.col("delta")).alias("chars"), F.min("kind").alias("some"))
-        sizes = keep(sizes.filter((F.col("low") != F.col("high")) & (F.col("some") == 0)).select("key", ((F.col("n") <= group_texts) | (F.col("chars") <= edits)).alias("small")))
-        pairs = keep(_cross(level.join(sizes.filter("small"), "key", "left_semi")).distinct())
+        sizes = level.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.max(F.length("rest") - F.col("delta")).alias("chars"), F.min("kind").alias("some"))
+        sizes = keep(sizes.filter((F.col("low") != F.col("high")) & (F.col("some") == 0)).select("key", ((F.col("n") <= most) | (F.col("chars") <= edits)).alias("small")))
+        pairs = keep(_cross(level.join(sizes.filter("small"), "key", "left_semi"), edits))
         found = pairs if found is None else found.union(pairs)
         hot = sizes.filter("NOT small")
         if hot.isEmpty():
@@ -232,7 +253,7 @@ def _split(texts: DataFrame, hot: DataFrame, edits: int, group_texts: int) -> Da
         again = level.join(hot, "key", "left_semi")
         before = [level, sizes]
         role = F.when(F.col("kind") == 0, 0).otherwise(1 + F.col("delta"))
-        level = _rows(again.select("h", "root", "rest", F.col("key").alias("above"), role.alias("as_role")), ["above"], F.col("as_role"), edits)
+        level = _rows(again.select("h", "sig", "root", "rest", F.col("key").alias("above"), role.alias("as_role")), ["above"], F.col("as_role"), edits)
 
 
 def _short_roots(short: DataFrame, root: DataFrame, edits: int, least_chars: int, group_texts: int) -> DataFrame:
@@ -247,8 +268,9 @@ def _short_roots(short: DataFrame, root: DataFrame, edits: int, least_chars: int
         few = keep(short.filter(chars * edits >= least_chars).select("line").distinct())
         for e in range(edits - 1, 0, -1):
             low, high = -(-least_chars * e // edits), -(-least_chars * (e + 1) // edits) - 1
-            found = found.unionByName(near_lines(few.filter(chars.between(low, high + e)), e, group_texts))
-    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            more = near_lines(few.filter(chars.between(low, high + e)), e, group_texts)
+            found = found if more.isEmpty() else found.unionByName(more)
+    return root if found is root else components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS, group_texts: int = GROUP_TEXTS, short_lines: bool = False) -> DataFrame:
