@@ -1,11 +1,14 @@
 """What a task holds and how many rows a step makes."""
 
+import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from tallyframe.llm import passages
+from tallyframe.llm import line_dedup, passages
 
 
 def _records(keys, each, size):
@@ -44,3 +47,46 @@ def test_memory_of_a_step_of_passages():
     finally:
         tracemalloc.stop()
     assert peak < 70 * 400 * 1000
+
+
+def _close(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1] <= 2
+
+
+@pytest.mark.parametrize("group_texts", [64])
+def test_lines_that_share_a_part_make_few_pairs(spark, monkeypatch, group_texts):
+    rng = random.Random(3)
+    part = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé ") for _ in range(n))
+    common = part(40)
+    lines = [common + part(40) for _ in range(50)]
+    near = lines[0][:70] + "##" + lines[0][72:]
+    lines += [near, near[1:30] + "é" + near[30:]]
+    made = []
+    ordered = line_dedup._ordered
+    monkeypatch.setattr(line_dedup, "_ordered", lambda pairs: made.append(ordered(pairs)) or made[-1])
+    root = {r.node: r.root for r in line_dedup.near_lines(spark.createDataFrame([(x,) for x in lines], "line string"), 2, group_texts).collect()}
+    node = {x: bytes.fromhex(r) for x, r in spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.md5("line")).collect()}
+    want = {frozenset((a, b)) for a in lines for b in lines if a < b and _close(a, b)}
+    assert want == {frozenset((lines[0], near)), frozenset((near, lines[-1]))}
+    assert {x for x in lines if node[x] in root} == {lines[0], near, lines[-1]}
+    assert len(set(root.values())) == 1
+    # Of 1,326 pairs that share the part, those that the characters rule out are no rows.
+    assert sum(p.count() for p in made) < 50
+
+
+def test_signatures_of_near_lines_are_alike(spark):
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(200):
+        a = b = "".join(rng.choice("ab cé€😀Z9") for _ in range(rng.randint(0, 12)))
+        for _ in range(2):
+            i = rng.randint(0, len(b))
+            b = b[:i] + rng.choice(["", "x", "😀", "é"]) + b[i + rng.randint(0, 1) :]
+        pairs.append((a, b))
+    alike = line_dedup._alike(line_dedup.signature(F.col("a")), line_dedup.signature(F.col("b")), 2)
+    assert spark.createDataFrame(pairs, "a string, b string").filter(~alike).isEmpty()
