@@ -161,9 +161,21 @@ def signature(line: Column) -> Column:
     return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(bit(c)))
 
 
-def _alike(a: Column, b: Column, edits: int) -> Column:
-    """Whether two signatures allow ``edits`` edits; texts within ``edits`` always do."""
-    return F.bit_count(a.bitwiseXOR(b)) <= 2 * edits
+def pair_signature(line: Column) -> Column:
+    """64 bits: for each class of a character and the one before it whether they occur together an odd number of times.
+
+    An edit takes away two such pairs and brings two at most, so it flips four bits at most.
+    """
+    def add(s: Column, c: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (s["last"] * 37 + F.ascii(c)).bitwiseAND(F.lit(63)))
+        return F.struct(F.ascii(c).alias("last"), s["bits"].bitwiseXOR(bit).alias("bits"))
+
+    return F.aggregate(F.split(line, ""), F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("bits")), add, lambda s: s["bits"])
+
+
+def _alike(a: Column, b: Column, edits: int, flips: int = 2) -> Column:
+    """Whether two signatures of so many ``flips`` an edit allow ``edits`` edits; texts within ``edits`` always do."""
+    return F.bit_count(a.bitwiseXOR(b)) <= flips * edits
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -176,8 +188,8 @@ def near_lines(lines: DataFrame, edits: int = EDITS, group_texts: int = GROUP_TE
     Two texts within ``edits`` agree in one of ``edits`` + 1 segments of the shorter, at a shift that its place and the
     difference of lengths bound. Of a group of texts with the same segment, all are compared with the first; those
     still apart are compared in pairs, or, in a large group, meet again by the segments of their remaining parts, whose
-    distance is bounded too. A pair is a row only if the signatures of its texts allow so few edits, so a group's pairs
-    stay close to the links it has.
+    distance is bounded too. A pair is a row only if what is left of its texts is within ``edits``, so a group's pairs
+    are the links it has, not the square of its size; signatures spare most distances.
     """
     h = F.xxhash64("line").alias("h")
     shared, whole = _shared(_rows(lines.select(h, F.col("line").alias("rest")), [], None, edits))
@@ -205,33 +217,40 @@ def near_lines(lines: DataFrame, edits: int = EDITS, group_texts: int = GROUP_TE
     near_first = rows.join(first, "key").filter((F.col("first.h") != F.col("h")) & _alike(F.col("first.sig"), F.col("sig"), edits))
     links = keep(links.unionByName(verified(_ordered(near_first.select(F.col("first.h").alias("a"), F.col("h").alias("b"))))))
     root = components(links)
-    where = texts.join(root, "node", "left").select("h", "sig", F.coalesce("root", "node").alias("root"))
+    where = texts.join(root, "node", "left").select("h", "sig", "node", F.coalesce("root", "node").alias("root"))
     apart = rows.join(where, ["h", "sig"])
     mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
     mixed = keep(mixed.filter(F.col("low") != F.col("high")).select("key", "n"))
     if mixed.isEmpty():
         return root
-    apart = keep(apart.join(mixed, "key").select("key", "h", "kind", "sig", "root", "n"))
+    apart = keep(apart.join(mixed, "key").select("key", "h", "kind", "node", "root", "n"))
+    open_texts = texts.join(apart.select("node").distinct(), "node", "left_semi")
+    open_texts = keep(open_texts.select("node", "sig", pair_signature(F.col("line")).alias("grams"), F.col("line").alias("rest")))
     most = group_texts * SIGNATURES
-    found = [verified(keep(_ordered(_cross(apart.filter(F.col("n") <= most), edits))))]
+    found = [verified(keep(_ordered(_cross(apart.filter(F.col("n") <= most).join(open_texts, "node"), edits))))]
     hot = apart.filter(F.col("n") > most)
     if not hot.isEmpty():
-        open_texts = texts.join(hot.select("h", "sig", "root").distinct(), ["h", "sig"]).select("h", "sig", "root", F.col("line").alias("rest"))
-        found.append(verified(keep(_ordered(_split(open_texts, keep(hot.select("key").distinct()), edits, most)))))
+        hot_texts = open_texts.join(hot.select("node", "h", "root").distinct(), "node").select("h", "sig", "grams", "root", "rest")
+        found.append(verified(keep(_ordered(_split(hot_texts, keep(hot.select("key").distinct()), edits, most)))))
     more = found[0] if len(found) == 1 else found[0].union(found[1])
     return components(links.union(more)) if not more.isEmpty() else root
 
 
 def _cross(rows: DataFrame, edits: int) -> DataFrame:
-    """Pairs of a segmented and another text of one key that are in different components and whose signatures are alike."""
-    a, b = (rows.select("key", "kind", F.col("h").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
+    """Pairs of a segmented and another text of one key that are in different components and whose rests are within ``edits``.
+
+    The distance is part of the join, so that a pair beyond it is no row; signatures come before it.
+    """
+    a, b = (rows.select("key", "kind", F.col("h").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "grams", "root", "rest")]) for s in "ab")
     both = a.filter("kind = 0").drop("kind").join(b.drop("kind"), "key")
-    return both.filter((F.col("root_a") != F.col("root_b")) & _alike(F.col("sig_a"), F.col("sig_b"), edits)).select("a", "b")
+    alike = _alike(F.col("sig_a"), F.col("sig_b"), edits) & _alike(F.col("grams_a"), F.col("grams_b"), edits, 4)
+    near = F.levenshtein(F.col("rest_a"), F.col("rest_b"), edits) >= 0
+    return both.filter((F.col("root_a") != F.col("root_b")) & alike & near).select("a", "b")
 
 
 def _split(texts: DataFrame, hot: DataFrame, edits: int, most: int) -> DataFrame:
-    """Candidate pairs of groups too large to pair, of texts (h, sig, root, rest): split by what is left of the texts, again
-    and again, into groups of at most ``most`` rows. The component of a text and its signature travel with its rows.
+    """Candidate pairs of groups too large to pair, of texts (h, sig, grams, root, rest): split by what is left of the texts, again
+    and again, into groups of at most ``most`` rows. The component of a text and its signatures travel with its rows.
 
     Each level shortens the rests. Once the segmented ones have no more than ``edits`` characters, texts are compared in
     pairs: only so many different ones exist.
@@ -239,7 +258,7 @@ def _split(texts: DataFrame, hot: DataFrame, edits: int, most: int) -> DataFrame
     level, before = _rows(texts, [], None, edits).join(hot, "key", "left_semi"), [hot]
     found = None
     while True:
-        level = keep(level.select("key", "h", "sig", "root", "kind", "delta", F.concat(
+        level = keep(level.select("key", "h", "sig", "grams", "root", "kind", "delta", F.concat(
             F.substring(F.col("rest"), F.lit(1), F.col("start")), F.substring(F.col("rest"), F.col("start") + F.col("size") + 1, F.length("rest"))).alias("rest")).distinct())
         drop(*before)
         sizes = level.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.max(F.length("rest") - F.col("delta")).alias("chars"), F.min("kind").alias("some"))
@@ -253,7 +272,7 @@ def _split(texts: DataFrame, hot: DataFrame, edits: int, most: int) -> DataFrame
         again = level.join(hot, "key", "left_semi")
         before = [level, sizes]
         role = F.when(F.col("kind") == 0, 0).otherwise(1 + F.col("delta"))
-        level = _rows(again.select("h", "sig", "root", "rest", F.col("key").alias("above"), role.alias("as_role")), ["above"], F.col("as_role"), edits)
+        level = _rows(again.select("h", "sig", "grams", "root", "rest", F.col("key").alias("above"), role.alias("as_role")), ["above"], F.col("as_role"), edits)
 
 
 def _short_roots(short: DataFrame, root: DataFrame, edits: int, least_chars: int, group_texts: int) -> DataFrame:

@@ -90,3 +90,35 @@ def test_signatures_of_near_lines_are_alike(spark):
         pairs.append((a, b))
     alike = line_dedup._alike(line_dedup.signature(F.col("a")), line_dedup.signature(F.col("b")), 2)
     assert spark.createDataFrame(pairs, "a string, b string").filter(~alike).isEmpty()
+
+
+@pytest.mark.parametrize("group_texts", [64, 1])
+def test_pairs_of_a_group_are_its_links(spark, monkeypatch, group_texts):
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé ") for _ in range(n))
+    common, letters = part(40), "abcdefghijklmnopqrstuvwxyzé€0123456789"
+    lines = [common + "".join(rng.sample(letters, len(letters))) for _ in range(60)]
+    near = lines[0][:70] + "##" + lines[0][72:]
+    lines += [near, near[1:30] + "é" + near[30:]]
+    made, cross = [], line_dedup._cross
+    monkeypatch.setattr(line_dedup, "_cross", lambda *a: made.append(line_dedup.keep(cross(*a))) or made[-1])
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    root = {r.node: r.root for r in line_dedup.near_lines(df, 2, group_texts).collect()}
+    node = {x: bytes.fromhex(r) for x, r in df.select("line", F.md5("line")).collect()}
+    assert {x for x in lines if node[x] in root} == {lines[0], near, lines[-1]}
+    assert len(set(root.values())) == 1
+    # All 1,770 pairs of permutations have the same characters; only the two links may be rows, once for each segment.
+    assert made and sum(p.count() for p in made) <= 20
+
+
+def test_pair_signatures_of_near_lines_are_alike(spark):
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(300):
+        a = b = "".join(rng.choice("ab cé€😀Z9") for _ in range(rng.randint(0, 12)))
+        for _ in range(2):
+            i = rng.randint(0, len(b))
+            b = b[:i] + rng.choice(["", "x", "😀", "é"]) + b[i + rng.randint(0, 1) :]
+        pairs.append((a, b))
+    alike = line_dedup._alike(line_dedup.pair_signature(F.col("a")), line_dedup.pair_signature(F.col("b")), 2, 4)
+    assert spark.createDataFrame(pairs, "a string, b string").filter(~alike).isEmpty()
