@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,51 +17,58 @@ GROUP_TEXTS = 64
 SIGNATURES = 16
 
 
-def _windows(edits: int, delta: int) -> list[tuple[int, range]]:
-    """For a text ``delta`` longer than the segmented one: (segment, shifts at which it can stand).
+def _bucket(total: Column, edits: int) -> Column:
+    """A length rounded down to a multiple of up to a quarter of it; short ones, of which a segment needs every character, as they are.
 
-    Of several segments that may match, the one whose left side has fewest edits is enough, seen from either end.
+    Texts of one bucket are cut at the same places, so one row serves texts of all lengths that can be near.
     """
-    out = []
-    for i in range(edits + 1):
-        low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
-        out.append((i, range(low, high + 1)))
-    return out
+    step = F.when(total < 16, 2).when(total < 32, 4).when(total < 64, 8).otherwise(16)
+    return F.when(total < max(8, 2 * (edits + 1)), total).otherwise(total - total % step)
+
 
+def _probes(edits: int) -> list[tuple[int, int, bool, int, int]]:
+    """(kind of the row, segment, whether its place counts from the end, shift, delta): the places in a text at which a segment
+    of one shorter by ``delta`` can stand; kind 0 are the text's own segments, which other texts may have in the same place.
 
-def _probes(edits: int, lengths: bool) -> list[tuple[int, int, int, int, int]]:
-    """(role of the text, kind of the row, delta, segment, shift). Role 0 is a segmented text, role 1 + delta one that
-    probes for texts shorter by delta; with ``lengths`` a segmented text has all these roles."""
+    Of several segments that may match, the one whose left side has fewest edits is enough, seen from either end. Segments
+    are counted from the nearer end, where a longer text is shifted least.
+    """
     out = []
-    for delta in range(edits + 1):
-        for i, shifts in _windows(edits, delta):
-            if delta == 0:
-                out.append((0, 0, 0, i, 0))
-            # A segmented text probes for texts of its own length too; where nothing is shifted its segments do that.
-            out += [(0, 1, delta, i, s) for s in shifts if (delta == 0 and s) or (delta and lengths)]
-            out += [] if lengths else [(1 + delta, 1, delta, i, s) for s in shifts]
+    for i in range(edits + 1):
+        end = 2 * i > edits
+        for delta in range(edits + 1):
+            low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
+            if edits <= 2 and delta == 0:
+                # Of texts of equal length with one edit on either side, one has its middle further on in the other.
+                low = 0
+            out += [(int(delta > 0 or s != 0), i, end, s - delta if end else s, delta) for s in range(low, high + 1)]
     return out
 
 
-def _rows(df: DataFrame, group: list[str], role: Column | None, edits: int) -> DataFrame:
-    """Rows of (h, rest, ...) times the segments and probes of ``rest``: ``key`` (a hash), ``kind``, ``delta``, ``start``, ``size``.
+def _rows(df: DataFrame, group: list[str], edits: int) -> DataFrame:
+    """Rows of (h, rest, ...) times the segments and probes of ``rest``: ``key`` (a hash), ``kind``, ``start``, ``size``.
 
-    Each text is exploded by a constant list of places, so that one short expression makes all keys. Segments are cut from
-    the text at four bytes a character, where a place is found without counting characters.
+    A text is cut into segments at places that its bucket of lengths fixes; a longer one looks for them in its own bucket
+    and in another one only where a text shorter by so much falls there. Each text is exploded by a constant list of
+    places, so that one short expression makes all keys. Segments are cut from the text at four bytes a character, where
+    a place is found without counting characters.
     """
-    names = ("role", "kind", "delta", "i", "shift")
-    places = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, p)]) for p in _probes(edits, role is None)])
+    probes = _probes(edits)
+    # The next smaller delta with the same place: its row serves this one too, where both lengths have one bucket.
+    less = [max((p[4] for p in probes if p[1:4] == q[1:4] and p[4] < q[4]), default=-1) for q in probes]
+    names = ("kind", "i", "end", "shift", "delta", "less")
+    places = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (*p, d))]) for p, d in zip(probes, less)])
     out = df.select("*", F.length("rest").alias("n"), F.encode("rest", "UTF-32").alias("wide")).select("*", F.explode(places).alias("w"))
-    if role is not None:
-        out = out.filter(role == F.col("w.role"))
+    total = _bucket(F.col("n") - F.col("w.delta"), edits)
+    out = out.filter((F.col("n") >= F.col("w.delta")) & ((F.col("w.less") < 0) | (total != _bucket(F.col("n") - F.col("w.less"), edits))))
+    out = out.select(*df.columns, "wide", total.alias("total"), "n", F.col("w.kind").alias("kind"), F.col("w.i").alias("i"), F.col("w.end").alias("end"), F.col("w.shift").alias("shift"))
     k = edits + 1
-    total = F.col("n") - F.col("w.delta")
-    low = F.expr(f"CAST((n - w.delta) * w.i div {k} AS INT)")
-    out = out.select(*df.columns, "wide", total.alias("total"), F.col("n"), F.col("w.kind").alias("w_kind"), F.col("w.delta").alias("w_delta"), F.col("w.i").alias("i"),
-                     (low + F.col("w.shift")).alias("start"), (F.expr(f"CAST((n - w.delta) * (w.i + 1) div {k} AS INT)") - low).alias("size"))
-    out = out.filter((F.col("total") >= 0) & (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
+    low = F.expr(f"CAST(total * i div {k} AS INT)")
+    out = out.select(*df.columns, "wide", "total", "n", "kind", "i", (low + F.col("shift") + F.when(F.col("end"), F.col("n") - F.col("total")).otherwise(0)).alias("start"),
+                     (F.expr(f"CAST(total * (i + 1) div {k} AS INT)") - low).alias("size"))
+    out = out.filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
     key = F.xxhash64(*group, "total", "i", F.substring(F.col("wide"), 4 * F.col("start") + 1, 4 * F.col("size")))
-    return out.select(*df.columns, key.alias("key"), F.col("w_kind").alias("kind"), F.col("w_delta").alias("delta"), "start", "size")
+    return out.select(*df.columns, key.alias("key"), "kind", "start", "size")
 
 
 def edit_within(a: Column, b: Column, edits: int) -> Column:
@@ -112,10 +121,17 @@ def lines_of(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataF
     src = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("t"))
     # The name of the row is made once per text, before its lines are.
     rows = src.select("doc_id", "t", _row(F.col("doc_id"), F.col("t")).alias("row")).select("row", "doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    rows = rows.select("row", "doc_id", "pos", F.btrim(F.col("line"), F.lit(" \t\n\x0b\x0c\r")).alias("line"))
+    rows = rows.select("row", "doc_id", "pos", _trimmed(F.col("line")).alias("line"))
     return rows.filter(F.length("line") >= least_chars)
 
 
+def _trimmed(line: Column) -> Column:
+    """``line`` without the blanks around it; the built-in trim walks through the whole line, so it is left to lines that need it."""
+    blanks = " \t\n\x0b\x0c\r"
+    outer = reduce(Column.__or__, [at(line, F.lit(c)) for at in (F.startswith, F.endswith) for c in blanks])
+    return F.when(outer, F.btrim(line, F.lit(blanks))).otherwise(line)
+
+
 def _row(doc_id: Column, text: Column) -> Column:
     """What names a row: its id and its text. Rows that repeat both are one row that occurs several times."""
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("\n"), text)))
@@ -185,14 +201,14 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame, edits: int = EDITS, group_texts: int = GROUP_TEXTS) -> DataFrame:
     """(node, root) of the distinct lines that are within ``edits`` of another one, or linked through others.
 
-    Two texts within ``edits`` agree in one of ``edits`` + 1 segments of the shorter, at a shift that its place and the
-    difference of lengths bound. Of a group of texts with the same segment, all are compared with the first; those
+    Two texts within ``edits`` agree in one of ``edits`` + 1 segments of the shorter (or, of equal length, of either), at a
+    shift that its place and the difference of lengths bound. Of a group of texts with the same segment, all are compared with the first; those
     still apart are compared in pairs, or, in a large group, meet again by the segments of their remaining parts, whose
     distance is bounded too. A pair is a row only if what is left of its texts is within ``edits``, so a group's pairs
     are the links it has, not the square of its size; signatures spare most distances.
     """
     h = F.xxhash64("line").alias("h")
-    shared, whole = _shared(_rows(lines.select(h, F.col("line").alias("rest")), [], None, edits))
+    shared, whole = _shared(_rows(lines.select(h, F.col("line").alias("rest")), [], edits))
     texts = shared.select("h", F.col("rest").alias("line")).distinct() if whole else lines.select(h, "line").join(shared.select("h").distinct(), "h", "left_semi").distinct()
     rows = _without_repeats(shared.select("key", "h", "kind").distinct())
     # Lines are told apart by their text; h only brings candidates together.
@@ -255,13 +271,13 @@ def _split(texts: DataFrame, hot: DataFrame, edits: int, most: int) -> DataFrame
     Each level shortens the rests. Once the segmented ones have no more than ``edits`` characters, texts are compared in
     pairs: only so many different ones exist.
     """
-    level, before = _rows(texts, [], None, edits).join(hot, "key", "left_semi"), [hot]
+    level, before = _rows(texts, [], edits).join(hot, "key", "left_semi"), [hot]
     found = None
     while True:
-        level = keep(level.select("key", "h", "sig", "grams", "root", "kind", "delta", F.concat(
+        level = keep(level.select("key", "h", "sig", "grams", "root", "kind", F.concat(
             F.substring(F.col("rest"), F.lit(1), F.col("start")), F.substring(F.col("rest"), F.col("start") + F.col("size") + 1, F.length("rest"))).alias("rest")).distinct())
         drop(*before)
-        sizes = level.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.max(F.length("rest") - F.col("delta")).alias("chars"), F.min("kind").alias("some"))
+        sizes = level.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("kind") == 0, F.length("rest"))).alias("chars"), F.min("kind").alias("some"))
         sizes = keep(sizes.filter((F.col("low") != F.col("high")) & (F.col("some") == 0)).select("key", ((F.col("n") <= most) | (F.col("chars") <= edits)).alias("small")))
         pairs = keep(_cross(level.join(sizes.filter("small"), "key", "left_semi"), edits))
         found = pairs if found is None else found.union(pairs)
@@ -271,8 +287,8 @@ def _split(texts: DataFrame, hot: DataFrame, edits: int, most: int) -> DataFrame
             return found
         again = level.join(hot, "key", "left_semi")
         before = [level, sizes]
-        role = F.when(F.col("kind") == 0, 0).otherwise(1 + F.col("delta"))
-        level = _rows(again.select("h", "sig", "grams", "root", "rest", F.col("key").alias("above"), role.alias("as_role")), ["above"], F.col("as_role"), edits)
+        # Each text of a group may be the shorter one of what is left, wherever its segment was.
+        level = _rows(again.select("h", "sig", "grams", "root", "rest", F.col("key").alias("above")), ["above"], edits)
 
 
 def _short_roots(short: DataFrame, root: DataFrame, edits: int, least_chars: int, group_texts: int) -> DataFrame:

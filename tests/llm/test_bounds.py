@@ -122,3 +122,46 @@ def test_pair_signatures_of_near_lines_are_alike(spark):
         pairs.append((a, b))
     alike = line_dedup._alike(line_dedup.pair_signature(F.col("a")), line_dedup.pair_signature(F.col("b")), 2, 4)
     assert spark.createDataFrame(pairs, "a string, b string").filter(~alike).isEmpty()
+
+
+def _edited(rng, line, edits):
+    for _ in range(edits):
+        at, kind = rng.randint(0, len(line)), rng.randint(0, 2)
+        line = line[:at] + ("" if kind == 0 else rng.choice("abcé")) + line[at + (kind != 1):]
+    return line
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_near_lines_share_a_segment_at_any_length(spark, edits):
+    rng = random.Random(11)
+    pairs = []
+    for n in [*range(edits + 1, 37), 62, 63, 64, 65, 66, 79, 80, 81, 82, 130]:
+        for _ in range(40):
+            line = "".join(rng.choice("abcé") for _ in range(n))
+            pairs.append((line, _edited(rng, line, edits)))
+    lines = sorted({x for p in pairs for x in p if len(x) > edits})
+    rows = line_dedup._rows(spark.createDataFrame(list(enumerate(lines)), "h long, rest string"), [], edits).select("h", "key", "kind").collect()
+    keys = [{0: set(), 1: set()} for _ in lines]
+    for r in rows:
+        keys[r.h][r.kind].add(r.key)
+    of = dict(zip(lines, keys))
+    for a, b in pairs:
+        if min(len(a), len(b)) > edits:
+            x, y = of[a], of[b]
+            assert x[0] & (y[0] | y[1]) or y[0] & x[1], (a, b)
+
+
+def test_a_line_is_few_segment_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("abcdefghij klmnop") for _ in range(rng.randint(64, 200))) for _ in range(300)]
+    made, shared = [], line_dedup._shared
+    monkeypatch.setattr(line_dedup, "_shared", lambda rows: made.append(rows.count()) or shared(rows))
+    line_dedup.near_lines(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    assert made[0] <= 5 * len(lines)
+
+
+def test_lines_are_trimmed(spark):
+    lines = ["", " ", "\t\r", "a", " a", "a\x0b", "\x0c a\x0b b \t", "\xa0a", "é \x0bé", " \x0b\x0c\r\t"]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    got = {r.pos: r.line for r in line_dedup.lines_of(docs, "doc_id", "text", 0).collect()}
+    assert got == {i: x.strip(" \t\n\x0b\x0c\r") for i, x in enumerate(lines)}
