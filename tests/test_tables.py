@@ -52,6 +52,26 @@ def test_a_crowded_key_is_dealt_to_many_tasks(spark, limits, rows, method):
         assert len(made) > 1 and max(r["count"] for r in made) < 80
 
 
+def test_few_copies_of_the_rows_of_crowded_keys(spark, limits, rows, monkeypatch):
+    """Crowded keys smaller than a share of all pairs are not copied, a large one by the square root of its cells."""
+    def pairs_of(keys, rows_per_key):
+        both = [spark.range(keys * rows_per_key).select((F.col("id") % keys).alias("k"), F.col("id").alias(v)) for v in ("v", "w")]
+        copies.clear()
+        with limits(mergePairs=10):
+            merged = joins.merge(*both, PAIR, "outer")
+            # The copies are shuffled once.
+            plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert rows(merged) == sorted((k, v, w) for k in range(keys) for v in range(k, keys * rows_per_key, keys) for w in range(k, keys * rows_per_key, keys))
+        return [df.count() for df in copies], plan
+
+    copies, dealt = [], joins._dealt
+    monkeypatch.setattr(joins, "_dealt", lambda *args: copies.append(dealt(*args)) or copies[-1])
+    assert pairs_of(40, 20)[0] == [800, 800]
+    counts, plan = pairs_of(1, 100)
+    assert counts == [200, 200]
+    assert plan.count("Exchange hashpartitioning(__lid") == plan.count("Exchange hashpartitioning(__rid") == 1
+
+
 def test_different_key_names_both_stay(left, spark):
     other = spark.createDataFrame([("1", 5)], "key string, n int")
     merged = joins.merge(left, other, [{"left": "k", "right": "key"}], "inner")
